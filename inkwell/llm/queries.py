@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
-from . import ngram_join
+from . import decontaminate, licenses, line_dedup, mixing, ngram_join, quality, token_output
 
 
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
+def op2_token_ids(spark, sf_dir):
+    return token_output.encode(table(spark, sf_dir, "documents"))[0]
+
+
+def op3_license_scan(spark, sf_dir):
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_classifier(spark, sf_dir):
+    return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op8_source_mixing(spark, sf_dir):
+    return mixing.curriculum(table(spark, sf_dir, "documents"))
+
+
+def op10_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
