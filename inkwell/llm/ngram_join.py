@@ -120,8 +120,17 @@ def _prefixes(n: int, t: float, order):
     return run
 
 
+def _counted(a, b, s, n):
+    """Sums n by (a, b)."""
+    o = np.lexsort((b, a))
+    a, b, s, n = a[o], b[o], s[o], n[o]
+    cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, int)
+    return a[cut], b[cut], s[cut], np.add.reduceat(n, cut) if len(a) else n
+
+
 def _candidates(t: float):
-    """Pairs of classes that share a prefix gram and pass the length and positional filters; input is partitioned by gram."""
+    """(a, b, sizes, shared prefix grams) of classes that pass the length filter and the positional filter of that gram; the
+    input is partitioned by gram."""
 
     def pairs(g, c, at):
         o = np.lexsort((c, g))
@@ -129,8 +138,7 @@ def _candidates(t: float):
         keep = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])][: len(g)]
         g, c, at = g[keep], c[keep], at[keep]
         size, pos = at >> 32, at & 0xFFFFFFFF
-        found = []
-        held = 0
+        found, held = [], 0
         d, live = 1, np.arange(len(g))
         while True:
             live = live[live + d < len(g)]
@@ -138,18 +146,21 @@ def _candidates(t: float):
             if not len(live):
                 break
             i, j = live, live + d
-            need = _overlap(t, size[i], size[j])
-            ok = (np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9) & (1 + np.minimum(size[i] - pos[i], size[j] - pos[j]) - 1 >= need - np.minimum(pos[i], pos[j]))
-            i, j = i[ok], j[ok]
-            found.append(np.stack([np.minimum(c[i], c[j]), np.maximum(c[i], c[j])], 1))
+            fits = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
+            i, j = i[fits], j[fits]
+            fits = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= _overlap(t, size[i], size[j])
+            i, j = i[fits], j[fits]
+            found.append((c[i], c[j], size[i] << 32 | size[j], np.ones(len(i), np.int64)))
             held += len(i)
             if held > 2_000_000:
-                found, held = [np.unique(np.concatenate(found), axis=0)], 0
-                if len(found[0]) > 1_000_000:
+                found = [_counted(*[np.concatenate(x) for x in zip(*found)])]
+                held = len(found[0][0])
+                if held > 1_000_000:
                     yield found.pop()
+                    held = 0
             d += 1
         if found:
-            yield np.unique(np.concatenate(found), axis=0)
+            yield _counted(*[np.concatenate(x) for x in zip(*found)])
 
     def run(batches):
         parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
@@ -159,11 +170,20 @@ def _candidates(t: float):
         _, inv, cnt = np.unique(g, return_inverse=True, return_counts=True)
         many = cnt[inv] > 1
         for p in pairs(g[many], c[many], at[many]):
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["a", "b", "sizes", "n"])
 
     return run
 
 
+def _prefix_sums(found: DataFrame, t: float) -> DataFrame:
+    """Pairs whose shared prefix grams, with all grams behind the prefix whose last gram comes first, reach the overlap."""
+    x = found.groupBy("a", "b").agg(F.first("sizes").alias("s"), F.sum("n").alias("n"))
+    x = x.select("a", "b", "n", F.shiftright("s", 32).alias("p"), F.col("s").bitwiseAND(F.lit((1 << 32) - 1)).alias("q"))
+    need = F.ceil(t / (1 + t) * (F.col("p") + F.col("q")) - 1e-9)
+    rest = F.ceil(t * F.greatest("p", "q") - 1e-9) - 1
+    return x.filter(F.col("n") + rest >= need).select("a", "b")
+
+
 def _sets(n: int, order, wanted):
     """(class, grams in join order as bytes) of the documents that stand for a class with candidates."""
 
@@ -220,8 +240,8 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     heads = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     rows = docs.select("text").mapInArrow(_prefixes(n, threshold, order), "gram bigint, cls bigint, at bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "gram").mapInArrow(_candidates(threshold), "a bigint, b bigint")
-    found = written(found.distinct(), "candidates")
+    found = rows.repartition(parts, "gram").mapInArrow(_candidates(threshold), "a bigint, b bigint, sizes bigint, n bigint")
+    found = written(_prefix_sums(found, threshold), "candidates")
     ends = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     wanted = written(heads.join(ends, "cls", "left_semi"), "heads")
     bitmap = key_bitmap(wanted.select("doc_id"), wanted.count())
