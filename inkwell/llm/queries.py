@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, mixing, ngram_join, quality, token_output
+from . import decontaminate, licenses, line_dedup, mixing, ngram_join, quality, quotes, style_tree, token_output
 
 
 def table(spark, sf_dir, name):
@@ -29,10 +29,18 @@ def op6_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_site_style_tree(spark, sf_dir):
+    return style_tree.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_source_mixing(spark, sf_dir):
     return mixing.curriculum(table(spark, sf_dir, "documents"))
 
 
+def op9_quotation_linking(spark, sf_dir):
+    return quotes.linked_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op10_benchmark_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
