@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, mixing, ngram_join, quality, quotes, style_tree, token_output
+from pyspark.sql import functions as F
+
+from . import decontaminate, flac, flac_encode, licenses, line_dedup, mixing, ngram_join, quality, quotes, style_tree, token_output
 
 
 def table(spark, sf_dir, name):
@@ -21,6 +23,11 @@ def op3_license_scan(spark, sf_dir):
     return licenses.licenses(table(spark, sf_dir, "documents"))
 
 
+def op4_flac_blocks(spark, sf_dir):
+    """The PCM blocks of the documents' media; the PCM in base64, so that SQL can be held against it."""
+    return flac.pcm_blocks(flac_encode.text_media(table(spark, sf_dir, "documents"))).withColumn("pcm", F.translate(F.base64("pcm"), "\r\n", ""))
+
+
 def op5_quality_classifier(spark, sf_dir):
     return quality.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,5 +56,16 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+#: The media are the texts' bytes as 16-bit samples, so the blocks are pieces of the texts.
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(text)) h, strlen(text) n FROM documents WHERE text <> ''),
+s AS (SELECT doc_id, CASE WHEN n % 2 = 1 THEN h || '00' ELSE h END h, CASE WHEN n % 4 = 0 THEN 2 ELSE 1 END channels, (n + n % 2) // 2 samples FROM d),
+b AS (SELECT *, samples // channels each, UNNEST(range((samples // channels + 4095) // 4096)) k FROM s)
+SELECT doc_id, k::INTEGER block_no, (k * 4096)::BIGINT first_sample, least(4096, each - k * 4096)::INTEGER n_samples, channels::INTEGER channels,
+    16000 sample_rate, 16 bits, to_base64(unhex(substring(h, k * 16384 * channels + 1, 16384 * channels))) pcm, NULL::VARCHAR error
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_flac_blocks": OP4_SQL}
