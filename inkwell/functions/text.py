@@ -117,7 +117,7 @@ _SHORT = sorted("al approx ca cf ch co corp dept dr e.g est etc fig i.e inc jr l
 
 def sentences(prose: Column) -> Column:
     """Split after . ! ? and white space before a capital, digit, quote or bracket; not inside numbers, ellipses and abbreviations."""
-    t = F.regexp_replace(prose, r"(\d)\.(?=\d)", "$1" + _NUL)
+    t = F.regexp_replace(prose, r"(\d)\.(\d)", "$1" + _NUL + "$2")
     t = splice(t, r"\.{3,}", lambda m: F.repeat(F.lit(_NUL), F.length(m)))
     t = splice(t, EDGE + r"(?:[A-Za-z]\.){2,}", lambda m: F.translate(m, ".", _NUL))
     t = F.regexp_replace(t, "(?iu)" + EDGE + "(" + "|".join(w.replace(".", r"\.") for w in _SHORT) + r")\.", "$1" + _NUL)

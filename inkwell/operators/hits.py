@@ -51,10 +51,9 @@ def snippet(text: Column, most: int = 70) -> Column:
 
 def protected(text: Column, phrases: tuple) -> Column:
     """Spans of the phrases in which a flagged word is a fixed expression."""
-    found = [T.spans(text, R.phrase_regex(p)) for p in phrases]
-    any_ = F.lower(text).rlike("|".join(sorted({R.quoted(p.lower().split(" ")[-1]) for p in phrases}))) if phrases else F.lit(False)
     empty = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    return F.when(any_, F.flatten(F.array(*found))).otherwise(empty) if phrases else empty
+    low = F.lower(F.regexp_replace(text, f"[{R.SPACE}]+", " "))
+    return F.flatten(F.array(*[F.when(low.contains(p.lower()), T.spans(text, R.phrase_regex(p))).otherwise(empty) for p in phrases])) if phrases else empty
 
 
 def free(x: Column, spans: Column) -> Column:
@@ -67,24 +66,25 @@ CITATION = r"\[\^?\d|\(\d{4}\)|\([" + R.SPACE + r"]*[A-Z][" + R.WORD + r"\-&.]+,
 def phrase_hits(text: Column, rules: R.Rules, keep: Column, categories=None) -> Column:
     """Hits of all phrase lists on a text without code; keep: protected spans.
 
-    Only phrases whose first word is among the text's words are searched: their numbers come from a literal map, so there is
-    neither a join nor a shuffle, and the cost follows the phrases that may occur rather than all there are.
+    Only phrases whose first word is among the text's words, and that the lower-cased text with single spaces contains, are
+    searched by their expression. Their numbers come from a literal map, so there is neither a join nor a shuffle, and the cost
+    follows the phrases that occur rather than all there are.
     """
     phrases = [p for p in rules.phrases if categories is None or p.category in categories]
     by_word: dict[str, list[int]] = {}
     for n, p in enumerate(phrases):
         by_word.setdefault(p.anchor or "", []).append(n)
-    table = F.array(*[F.struct(F.lit(p.category).alias("category"), F.lit(p.regex).alias("regex"), F.lit(p.suggestion or "cut").alias("suggestion")) for p in phrases])
+    table = F.array(*[F.struct(F.lit(p.category).alias("category"), F.lit(p.regex).alias("regex"), F.lit(p.suggestion or "cut").alias("suggestion"), F.lit(" ".join(p.phrase.lower().split())).alias("plain")) for p in phrases])
     always = by_word.pop("", [])
-    words = F.array_distinct(T.extract(F.lower(text), f"[{R.WORD}]+"))
+    low = F.lower(F.regexp_replace(text, f"[{R.SPACE}]+", " "))
+    words = F.array_distinct(T.extract(low, f"[{R.WORD}]+"))
     lookup = F.create_map(*[x for w, ns in by_word.items() for x in (F.lit(w), F.array(*map(F.lit, ns)))])
     numbers = F.flatten(F.transform(F.array_intersect(words, F.array(*map(F.lit, by_word))), lambda w: F.element_at(lookup, w)))
     numbers = F.concat(numbers, F.array(*map(F.lit, always)).cast("array<int>"))
+    likely = T.let(low, lambda t: F.filter(F.transform(numbers, lambda n: F.get(table, n)), lambda r: F.contains(t, r["plain"])))
 
-    def of(n):
-        def search(r):
-            return F.transform(T.spans(text, r["regex"]), lambda x: F.struct(r["category"].alias("category"), r["suggestion"].alias("suggestion"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
-        return T.let(F.get(table, n), search)
+    def of(r):
+        return F.transform(T.spans(text, r["regex"]), lambda x: F.struct(r["category"].alias("category"), r["suggestion"].alias("suggestion"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text")))
 
     def kept(x):
         cited = F.rlike(F.substring(text, x["end"] + 1, F.lit(45)), F.lit(CITATION))
@@ -93,7 +93,7 @@ def phrase_hits(text: Column, rules: R.Rules, keep: Column, categories=None) ->
         quoted = line.rlike(T.HEADING) | line.rlike(T.QUOTE) | (F.length(F.regexp_replace(before, '[^"]', "")) % 2 == 1)
         return free(x, keep) & ~(x["category"].isin(*R.CITED) & cited) & ~(x["category"].isin(*R.UNQUOTED) & quoted)
 
-    return T.let(F.flatten(F.transform(numbers, of)), lambda found: F.transform(F.filter(found, kept), lambda x: hit(x["category"], x["text"], x["suggestion"], text, x["start"], x["end"], "source")))
+    return T.let(F.flatten(F.transform(likely, of)), lambda found: F.transform(F.filter(found, kept), lambda x: hit(x["category"], x["text"], x["suggestion"], text, x["start"], x["end"], "source")))
 
 
 def _pattern_hit(category: str, text: Column):
@@ -101,13 +101,16 @@ def _pattern_hit(category: str, text: Column):
 
 
 def pattern_hits(text: Column, keep: Column, categories=None) -> Column:
-    """Hits of the pattern families on a text without code."""
+    """Hits of the pattern families on a text without code; an expression runs where the text holds one of its needed words."""
     out = []
+    low = F.lower(text)
     for category, family in R.PATTERNS.items():
         for short in family if categories is None or category in categories else ():
+            need = R.needs(short)
             f = T.spans(text, R.pattern(short))
             f = f if category in R.IGNORES_PROTECTED else F.filter(f, lambda x: free(x, keep))
-            out.append(F.transform(f, _pattern_hit(category, text)))
+            f = F.transform(f, _pattern_hit(category, text))
+            out.append(F.when(low.rlike("|".join(map(R.quoted, need))), f).otherwise(none()) if need else f)
     return F.flatten(F.array(*out))
 
 

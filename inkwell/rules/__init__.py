@@ -48,6 +48,14 @@ def pattern(short: str) -> str:
     return "(?dui)" + out.replace("~", rf"[{SPACE}]+").replace("<", EDGE).replace(">", EDGE).replace("¤", rf"[{WORD}]")
 
 
+def needs(short: str) -> list[str]:
+    """Words of which a text must hold one to match a pattern: the longest plain alternation or word in it."""
+    groups = [g.split("|") for g in re.findall(r"\(\?:([a-z|]+)\)", short)]
+    plain = re.sub(r"\([^()]*(?:\([^()]*\)[^()]*)*\)", " ", short)
+    words = [[w] for w in re.findall(r"(?<![a-z?\]@#0-9¤'])[a-z]{4,}(?![a-z?'+*])", plain)]
+    return max(words + [g for g in groups if min(map(len, g)) >= 3], key=lambda g: min(map(len, g)), default=[])
+
+
 _BE = "(?:are|is|was|were)"
 _WHO = "(?:he|it|she|that|they|this|we)"
 _END = "[!.?]~"
