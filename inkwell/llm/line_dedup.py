@@ -52,6 +52,8 @@ def lines(col: pa.Array):
     cut[off] = True
     start = np.flatnonzero(cut)
     start = start[start < len(out)]
+    if not len(start):
+        return out, *[np.zeros(0, np.int64)] * 4
     end = np.r_[start[1:], len(out)]
     row = np.searchsorted(off, start, "right") - 1
     first = np.searchsorted(start, off[:-1])

@@ -10,7 +10,7 @@ Cumulative tokens come from sums by (source, hash bucket) and a window within ea
 many tasks, and the order doesn't depend on the partitioning.
 
 Defined cases: a null source is a source of its own; a null or empty text has no tokens and takes the position where it
-stands; null doc_ids and repeated rows are placed like any other row; ties in the order are broken by doc_id and text; an
+stands; a source without any tokens has no demand, its documents are left out; null doc_ids and repeated rows are placed like any other row; ties in the order are broken by doc_id and text; an
 empty table gives no rows; other columns are carried along; the two
 that this operator adds, whose names are parameters, take the place of any of the same name.
 """
