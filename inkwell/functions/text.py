@@ -13,7 +13,7 @@ FENCE = r"(?dm)^[\t ]*(([`~])\2{2,})[^\n]*?(?:\n(?s:.*?))?(?:\n[\t ]*\1[\t ]*$|\
 INLINE = r"`+[^\n`]*+`+"
 HEADING, LIST, QUOTE = r"^[\t ]*#{1,6}[\t ]+", r"^[\t ]*(?:\d+[.)]|[-+*])[\t ]+", r"^[\t ]*>+[\t ]?"
 EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2700}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}\\x{FE0F}]"
-_NUL = "\u0000"
+_NUL = "\u0003"  # not U+0000, which translate() takes as nothing
 
 
 def let(value: Column, body) -> Column:

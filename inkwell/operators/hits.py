@@ -4,6 +4,8 @@ metrics, so a document's analysis is one projection: no shuffle, the same in bat
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,11 +76,13 @@ def phrase_hits(text: Column, rules: R.Rules, keep: Column, categories=None) ->
     by_word: dict[str, list[int]] = {}
     for n, p in enumerate(phrases):
         by_word.setdefault(p.anchor or "", []).append(n)
-    table = F.array(*[F.struct(F.lit(p.category).alias("category"), F.lit(p.regex).alias("regex"), F.lit(p.suggestion or "cut").alias("suggestion"), F.lit(" ".join(p.phrase.lower().split())).alias("plain")) for p in phrases])
+    rows = [{"category": p.category, "regex": p.regex, "suggestion": p.suggestion or "cut", "plain": " ".join(p.phrase.lower().split())} for p in phrases]
+    # foldable, so a literal in the plan
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<category:string,regex:string,suggestion:string,plain:string>>")
     always = by_word.pop("", [])
     low = F.lower(F.regexp_replace(text, f"[{R.SPACE}]+", " "))
     words = F.array_distinct(T.extract(low, f"[{R.WORD}]+"))
-    lookup = F.create_map(*[x for w, ns in by_word.items() for x in (F.lit(w), F.array(*map(F.lit, ns)))])
+    lookup = F.from_json(F.lit(json.dumps(by_word)), "map<string,array<int>>")
     numbers = F.flatten(F.transform(F.array_intersect(words, F.array(*map(F.lit, by_word))), lambda w: F.element_at(lookup, w)))
     numbers = F.concat(numbers, F.array(*map(F.lit, always)).cast("array<int>"))
     likely = T.let(low, lambda t: F.filter(F.transform(numbers, lambda n: F.get(table, n)), lambda r: F.contains(t, r["plain"])))

@@ -16,13 +16,13 @@ def column(spark, texts, make):
 
 
 def test_sentences(spark):
-    got = column(spark, ["Pi is 3.14. Yes.", "See e.g. Smith. Done!", 'He said "no." Then left.', "Wait... What? U.S. Army.", "", "one. two"], T.sentences)
-    assert got == [["Pi is 3.14.", "Yes."], ["See e.g. Smith.", "Done!"], ['He said "no.', "Then left."], ["Wait... What?", "U.S. Army."], [], ["one. two"]]
+    got = column(spark, ["Pi is 3.14. Yes.", "See e.g. Smith. Done!", 'He said "yes." Then left.', "Wait... What? U.S. Army.", "", "one. two"], T.sentences)
+    assert got == [["Pi is 3.14.", "Yes."], ["See e.g. Smith.", "Done!"], ['He said "yes.', "Then left."], ["Wait... What?", "U.S. Army."], [], ["one. two"]]
 
 
 def test_code_and_front_matter(spark):
     got = column(spark, ["a\n```py\nx = 1\n```\nb `c` d", "~~~\nopen", "plain"], T.without_code)
-    assert got == ["a\n\n\nb     d", "\n", "plain"]
+    assert got == ["a\n\n\n\nb     d", "\n", "plain"]
     assert column(spark, ["---\na: 1\n---\nText", "---\nno end", "x\n---\n"], T.without_front_matter) == ["\n\n\nText", "---\nno end", "x\n---\n"]
 
 
