@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import unicodedata
 
@@ -25,6 +26,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def trim() -> None:
+    """Gives memory that isn't in use back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, text: int, max_bytes: int = 1 << 20, max_rows: int = 4096):
     """Cuts a batch into pieces of about max_bytes of text; a longer text stands alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
@@ -36,6 +46,7 @@ def slices(batch: pa.RecordBatch, text: int, max_bytes: int = 1 << 20, max_rows:
         to = min(max(to, at + 1), at + max_rows, n)
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

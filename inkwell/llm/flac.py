@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .arrays import ragged, slices
 from .shared import only, ready
 
-SLICE_BYTES, GROUP_SAMPLES = 16 << 20, 1 << 22
+SLICE_BYTES, GROUP_SAMPLES = 6 << 20, 1 << 20
 _SIZES = {1: 192, **{n: 576 << (n - 2) for n in range(2, 6)}, **{n: 256 << (n - 8) for n in range(8, 16)}}
 _RATES = {1: 88200, 2: 176400, 3: 192000, 4: 8000, 5: 16000, 6: 22050, 7: 24000, 8: 32000, 9: 44100, 10: 48000, 11: 96000}
 _BITS = {1: 8, 2: 12, 4: 16, 5: 20, 6: 24, 7: 32}

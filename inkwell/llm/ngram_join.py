@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import ngram_hash, slices, words
+from .arrays import ngram_hash, slices, trim, words
 from .components import components
 from .shared import key_bitmap, may_hold, only, ready, written
 
@@ -171,6 +171,7 @@ def _candidates(t: float):
         many = cnt[inv] > 1
         for p in pairs(g[many], c[many], at[many]):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["a", "b", "sizes", "n"])
+        trim()
 
     return run
 

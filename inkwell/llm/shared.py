@@ -14,8 +14,14 @@ from pyspark.sql import functions as F
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Rows hold whole texts: so many at most go to a Python worker at once.
+BATCH_ROWS = 2000
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package where it isn't installed on them."""
+    """Let Python workers import this package where it isn't installed on them, and get batches that fit their memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
