@@ -25,6 +25,8 @@ from .shared import key_bitmap, may_hold, only, ready, written
 
 N, THRESHOLD = 2, 0.65
 SKETCH = 1 << 20
+#: Candidate rows that a task holds before it sums them and, if they stay many, hands them on.
+HELD = 500_000
 CHUNK = 1 << 14
 HASH_BITS, DOC_BITS = 46, 12
 _MASK = np.uint64((1 << HASH_BITS) - 1)
@@ -152,10 +154,10 @@ def _candidates(t: float):
             i, j = i[fits], j[fits]
             found.append((c[i], c[j], size[i] << 32 | size[j], np.ones(len(i), np.int64)))
             held += len(i)
-            if held > 2_000_000:
+            if held > HELD:
                 found = [_counted(*[np.concatenate(x) for x in zip(*found)])]
                 held = len(found[0][0])
-                if held > 1_000_000:
+                if held > HELD // 2:
                     yield found.pop()
                     held = 0
             d += 1
@@ -169,8 +171,11 @@ def _candidates(t: float):
         g, c, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
         _, inv, cnt = np.unique(g, return_inverse=True, return_counts=True)
         many = cnt[inv] > 1
-        for p in pairs(g[many], c[many], at[many]):
+        g, c, at = g[many], c[many], at[many]
+        del parts, inv, cnt, many
+        for p in pairs(g, c, at):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["a", "b", "sizes", "n"])
+        del g, c, at
         trim()
 
     return run
