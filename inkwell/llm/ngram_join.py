@@ -191,7 +191,8 @@ def _prefix_sums(found: DataFrame, t: float) -> DataFrame:
 
 
 def _sets(n: int, order, wanted):
-    """(class, grams in join order as bytes) of the documents that stand for a class with candidates."""
+    """(doc_id, class, grams in join order as bytes) of the documents that may stand for a class with candidates: each (doc_id,
+    class) of a slice once, as the bitmap also lets documents through that don't."""
 
     def run(batches):
         for batch in batches:
@@ -200,7 +201,7 @@ def _sets(n: int, order, wanted):
                 row, g = _grams(part.column(1), n, order.value)
                 size, sh = _set_hash(row, g, part.num_rows)
                 ends = np.cumsum(size)
-                _, one = np.unique(sh, return_index=True)
+                _, one = np.unique(np.stack([sh, np.asarray(part.column(0))]), axis=1, return_index=True)
                 one = one[size[one] > 0]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(one)), pa.array(sh[one]), pa.array([g[ends[k] - size[k] : ends[k]].tobytes() for k in one], pa.binary())], ["doc_id", "cls", "grams"])
 

@@ -63,6 +63,18 @@ def test_ngram_join_equals_brute_force(spark):
     assert not {(a, b) for a in ids for b in ids if a is not None and b is not None and (a, b) in want}
 
 
+def test_ngram_join_keeps_pairs_of_classes_with_many_copies(spark, monkeypatch):
+    base = [words(60, 900 + k) for k in range(4)]
+    near = [b + " another end" for b in base]
+    rows = [(i, t) for k in range(4) for t, ids in ((base[k], range(k * 1000, k * 1000 + 60)), (near[k], range(k * 1000 + 500, k * 1000 + 540))) for i in ids]
+    random.Random(4).shuffle(rows)
+    rows.sort(key=lambda r: r[0] in (0, 1000, 2000, 3000, 500, 1500, 2500, 3500))  # the heads come last
+    monkeypatch.setattr(ngram_join, "key_bitmap", lambda keys, n: keys.sparkSession.sparkContext.broadcast(np.full(1 << 12, 255, np.uint8)))
+    got = ngram_join.jaccard_join(docs(spark, rows).coalesce(1)).collect()
+    assert sorted(r["doc_ids"] for r in got if r["kind"] == "near") == [[k * 1000, k * 1000 + 500] for k in range(4)]
+    assert sorted(len(r["doc_ids"]) for r in got if r["kind"] == "equal") == [40] * 4 + [60] * 4
+
+
 def test_suffix_bound_is_a_bound():
     r = np.random.default_rng(0)
     for _ in range(200):
