@@ -1,7 +1,8 @@
 """A corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
 
 quality classifier -> n-gram Jaccard join -> benchmark decontamination -> mixing sources to target weights -> token ids.
-All stages but the last return the columns of documents; the last returns doc_id, n_tokens, control and data.
+All stages but the last return the columns of documents; the last returns doc_id, n_tokens, control, data and,
+in one row, token_by_rank, with which all rows are decoded.
 """
 
 from __future__ import annotations

@@ -4,6 +4,8 @@ A public tokenizer's vocabulary (a parameter) gives the tokens; its ids are coun
 rank, so that frequent tokens take one byte. Each id takes 1 to 4 data bytes; four 2-bit lengths go into one control byte,
 and control and data bytes are kept apart. Decoding looks up the four lengths of each control byte in a table (numpy).
 
+The result can be decoded from its rows alone: one of them also carries the tokens by rank (token_by_rank, null elsewhere).
+
 Words are found in the code points of many texts at once, each distinct word of a slice is encoded by the tokenizer once.
 
 Defined cases: a null text has null n_tokens, control and data; an empty one has 0 and no bytes; null doc_ids, ties and
@@ -140,6 +142,8 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _tokens(path: str):
+    """doc_id, n_tokens, ids; columns behind the text are carried along."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, 1):
@@ -148,7 +152,7 @@ def _tokens(path: str):
                 ends = (np.cumsum(count) * z).tolist()
                 null = np.asarray(part.column(1).is_null())
                 blobs = [None if o else raw[a:b] for a, b, o in zip([0, *ends[:-1]], ends, null.tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(null, 0, count), pa.int64(), mask=null), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.where(null, 0, count), pa.int64(), mask=null), pa.array(blobs, pa.binary()), *part.columns[2:]], ["doc_id", "n_tokens", "ids", *part.schema.names[2:]])
 
     return run
 
@@ -170,31 +174,48 @@ def _counts(path: str):
     return run
 
 
-def _packed(path: str, rank):
+def _packed(path: str, rank, by_rank, first: int):
+    """The packed rows; the row numbered first carries by_rank."""
+
     def run(batches):
         kind = "<u2" if _narrow(path) else "<u4"
         for b in batches:
-            blobs = b.column(2).to_pylist()
+            blobs = b.column(3).to_pylist()
             ids = np.frombuffer(b"".join(x for x in blobs if x), kind)
             count = np.array([len(x) // ids.itemsize if x else 0 for x in blobs], np.int64)
             controls, datas = pack(rank.value[ids], count)
             null = [x is None for x in blobs]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([None if o else x for o, x in zip(null, controls)], pa.binary()), pa.array([None if o else x for o, x in zip(null, datas)], pa.binary())], ["doc_id", "n_tokens", "control", "data"])
+            table = pa.array([by_rank.value if r == first else None for r in b.column(0).to_pylist()], pa.binary())
+            packed = [pa.array([None if o else x for o, x in zip(null, y)], pa.binary()) for y in (controls, datas)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), *packed, table, *b.columns[4:]], ["doc_id", "n_tokens", "control", "data", "token_by_rank", *b.schema.names[4:]])
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
-    """(encoded, ranks): (doc_id, n_tokens, control, data) for each row of docs, and (rank, token, n), which decoding needs."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, keep: tuple = ()) -> tuple[DataFrame, DataFrame]:
+    """(encoded, ranks): (doc_id, n_tokens, control, data, token_by_rank, and the columns to keep) for each row of docs, and
+    (rank, token, n). token_by_rank: in one row the tokens in order of rank as 4-byte little-endian numbers, else null."""
     spark = ready(docs.sparkSession)
-    tokens = written(only(docs, "doc_id", "text").mapInArrow(_tokens(vocabulary), "doc_id bigint, n_tokens bigint, ids binary"), "tokens")
+    x = only(docs, "doc_id", "text", *keep)
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in x.schema.fields[2:])
+    tokens = x.mapInArrow(_tokens(vocabulary), f"doc_id bigint, n_tokens bigint, ids binary{kept}")
+    tokens = written(tokens.select(F.monotonically_increasing_id().alias("row"), "*"), "tokens")
     n = tokens.select("ids").mapInArrow(_counts(vocabulary), "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
     # at most one row for each entry of the vocabulary, however many documents there are
     rows = sorted(n.collect(), key=lambda r: (-r["n"], r["token"]))
+    first = tokens.agg(F.min("row")).first()[0]
     rank = np.zeros(tokenizer(vocabulary)[0].max_token_value + 1, np.uint32)
     rank[[r["token"] for r in rows]] = np.arange(len(rows))
     ranks = spark.createDataFrame([(k, r["token"], r["n"]) for k, r in enumerate(rows)], "rank int, token int, n bigint")
-    return tokens.mapInArrow(_packed(vocabulary, spark.sparkContext.broadcast(rank)), "doc_id bigint, n_tokens bigint, control binary, data binary"), ranks
+    by_rank = np.array([r["token"] for r in rows], "<u4").tobytes()
+    pack_ = _packed(vocabulary, spark.sparkContext.broadcast(rank), spark.sparkContext.broadcast(by_rank), -1 if first is None else first)
+    return tokens.mapInArrow(pack_, f"doc_id bigint, n_tokens bigint, control binary, data binary, token_by_rank binary{kept}"), ranks
+
+
+def token_table(encoded: DataFrame) -> np.ndarray:
+    """Token by rank, as the rows of encode() carry it."""
+    one = encoded.filter("token_by_rank is not null").select("token_by_rank").first()
+    return np.frombuffer(one[0] if one else b"", "<u4")
 
 
 def decode(control: bytes, data: bytes, n: int, tokens: np.ndarray, vocabulary: str = VOCABULARY) -> str:

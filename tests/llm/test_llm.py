@@ -137,6 +137,27 @@ def test_token_ids_round_trip(spark):
     assert ids.tolist() == [i for t in texts if t for i in real.encode_ordinary(t)] and n.sum() == len(ids)
 
 
+def decoded(rows):
+    """(doc_id, text) from the rows of a result alone."""
+    table = [r["token_by_rank"] for r in rows if r["token_by_rank"] is not None]
+    assert len(table) == 1
+    tokens = np.frombuffer(table[0], "<u4")
+    return [(r["doc_id"], None if r["data"] is None else token_output.decode(bytes(r["control"]), bytes(r["data"]), r["n_tokens"], tokens)) for r in rows]
+
+
+def test_results_decode_from_their_own_rows(spark):
+    import __spark_entry__
+    import corpus_pipeline as P
+
+    sf = "/root/testdata/sf0.001"
+    want = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = decoded(__spark_entry__.queries()["op2_token_ids"](spark, sf).collect())
+    assert len(got) == len(want) and dict(got) == want
+    got = decoded(P.run(spark, sf).collect())
+    assert got and all(want[i] == t for i, t in got)
+    assert token_output.encode(docs(spark, []))[0].count() == 0
+
+
 def test_packed_ids_of_every_length():
     ids = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     c, d = token_output.pack(ids, np.array([4, 0, 5]))
