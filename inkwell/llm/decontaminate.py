@@ -1,10 +1,10 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Texts are lower-cased, every run of characters other than letters and numbers becomes one space. Benchmark items are cut
-into overlapping segments (SEGMENT characters, every STRIDE; shorter items are one segment). A segment of L characters that
+Texts are lower-cased, every run of characters other than letters and numbers becomes one space. Every window of SEGMENT
+characters of a benchmark item, at whatever offset, is searched (shorter items are one window). A window of L characters that
 occurs in a document with at most k = floor(RATE * L) edits shares at least L - q + 1 - k * q of its q-grams with it, on
-diagonals that lie within k of each other. So the shared q-grams are counted in diagonal bands 2 (k + 1) wide that overlap by
-half; a band that reaches the bound is verified by banded alignment of the segment.
+diagonals that lie within k of each other. So the q-grams that the whole item shares are gathered in diagonal bands
+2 (k + 1) wide that overlap by half; the windows over a band's hits that reach the bound are verified by banded alignment.
 
 Benchmarks of up to SLICE_CHARS characters are sent to the executors as one index; larger ones in several such slices, with
 one pass over the documents for each.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .arrays import classes, codes, ragged, slices
 from .shared import only, ready
 
-Q, RATE, SEGMENT, STRIDE, MIN_CHARS = 10, 0.06, 96, 48, 24
+Q, RATE, SEGMENT, MIN_CHARS = 10, 0.06, 96, 24
 SLICE_CHARS = 8 << 20
 FILTER_BITS = 22
 _B = 0x9E3779B97F4A7C15 | 1
@@ -68,35 +68,31 @@ def gram_hash(c: np.ndarray, q: int) -> np.ndarray:
     return out * np.uint64(0xD6E8FEB86659FD93)
 
 
-def build_index(items: list[tuple[int, str]], q: int, rate: float, segment: int, stride: int, least: int) -> dict:
-    """Segments of the items and, by q-gram, where it stands in them."""
-    item, at, segs, total = [], [], [], {}
+def build_index(items: list[tuple[int, str]], q: int, rate: float, segment: int, least: int) -> dict:
+    """The items and, by q-gram, where it stands in them."""
+    item, texts, total = [], [], {}
     c, off = normalised(pa.array([t for _, t in items], pa.string()))
     for n, (i, _) in enumerate(items):
         x = c[off[n] : off[n + 1]]
         x = x[:-1] if len(x) and x[-1] == 32 else x
         if len(x) < max(least, q):
             continue
-        starts = sorted({*range(0, max(1, len(x) - segment + 1), stride), max(0, len(x) - segment)})
-        total[i] = total.get(i, 0) + len(starts)
-        for s in starts:
-            item.append(i)
-            at.append(s)
-            segs.append(x[s : s + segment])
-    size = np.array([len(s) for s in segs], np.int64)
-    gram = np.concatenate([gram_hash(s, q) for s in segs]) if segs else np.zeros(0, np.uint64)
-    seg = np.repeat(np.arange(len(segs)), size - q + 1)
-    pos = np.concatenate([np.arange(n - q + 1) for n in size]) if segs else np.zeros(0, np.int64)
+        total[i] = total.get(i, 0) + max(1, len(x) - segment + 1)
+        item.append(i)
+        texts.append(x)
+    length = np.array([len(x) for x in texts], np.int64)
+    gram = np.concatenate([gram_hash(x, q) for x in texts]) if texts else np.zeros(0, np.uint64)
+    of = np.repeat(np.arange(len(texts)), length - q + 1)
+    pos = np.concatenate([np.arange(n - q + 1) for n in length]) if texts else np.zeros(0, np.int64)
     o = np.argsort(gram, kind="stable")
-    gram, seg, pos = gram[o], seg[o], pos[o]
+    gram, of, pos = gram[o], of[o], pos[o]
     keys, first = np.unique(gram, return_index=True)
     filt = np.zeros(1 << FILTER_BITS, bool)
     filt[(keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
+    size = np.minimum(length, segment)
     k = np.floor(rate * size).astype(np.int64)
-    wide = np.full((len(segs), segment), 0xFFFFFFFE, np.uint32)
-    for n, s in enumerate(segs):
-        wide[n, : len(s)] = s
-    return {"item": np.array(item, np.int64), "at": np.array(at, np.int64), "size": size, "k": k, "need": np.maximum(size - q + 1 - k * q, 1), "text": wide, "keys": keys, "first": np.r_[first, len(gram)], "seg": seg, "pos": pos, "filt": filt, "total": total, "q": q}
+    text = np.concatenate([*texts, np.zeros(segment, np.uint32)]).astype(np.uint32)
+    return {"item": np.array(item, np.int64), "length": length, "size": size, "k": k, "need": np.maximum(size - q + 1 - k * q, 1), "text": text, "begin": np.cumsum(length) - length, "keys": keys, "first": np.r_[first, len(gram)], "of": of, "pos": pos, "filt": filt, "total": total, "q": q}
 
 
 def banded(seg: np.ndarray, size: np.ndarray, k: np.ndarray, text: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
@@ -119,7 +115,7 @@ def banded(seg: np.ndarray, size: np.ndarray, k: np.ndarray, text: np.ndarray, s
 
 
 def find(col: pa.Array, ix: dict) -> list[tuple[int, int, int, int]]:
-    """(row, item, segments found, least edits) for the texts of a column."""
+    """(row, item, windows found, least edits) for the texts of a column."""
     q = ix["q"]
     c, off = normalised(col)
     h = gram_hash(c, q)
@@ -134,34 +130,46 @@ def find(col: pa.Array, ix: dict) -> list[tuple[int, int, int, int]]:
     hit, at, row = hit[ok], at[ok], row[ok]
     count = ix["first"][at + 1] - ix["first"][at]
     post = ragged(ix["first"][at], count)
-    seg, diag, row = ix["seg"][post], np.repeat(hit, count) - ix["pos"][post], np.repeat(row, count)
-    w = ix["k"][seg] + 1
-    band = (diag + ix["size"].max() + 1) // w
-    key = (seg.astype(np.uint64) << np.uint64(44)) | (row.astype(np.uint64) << np.uint64(32)) | band.astype(np.uint64)
-    one, n = np.unique(key, return_counts=True)
-    up = np.zeros(len(one), np.int64)
-    nxt = np.flatnonzero(one[1:] == one[:-1] + np.uint64(1))
-    up[nxt] = n[nxt + 1]
-    down = np.zeros(len(one), bool)
-    down[nxt + 1] = True
-    seg = (one >> np.uint64(44)).astype(np.int64)
-    need = ix["need"][seg]
-    good = (n + up >= need) | ((n >= need) & ~down)
-    one, seg = one[good], seg[good]
-    if not len(one):
+    it, pos, row = ix["of"][post], ix["pos"][post], np.repeat(row, count)
+    shift = int(ix["length"].max()) + 1
+    band = (np.repeat(hit, count) - pos + shift) // (ix["k"][it] + 1)
+    key = (it.astype(np.uint64) << np.uint64(44)) | (row.astype(np.uint64) << np.uint64(32)) | band.astype(np.uint64)
+    # a hit counts in its band and in the one below, which it is the upper half of
+    has = np.unique(key)
+    low = key - np.uint64(1)
+    at = np.minimum(np.searchsorted(has, low), len(has) - 1) if len(has) else np.zeros(0, np.int64)
+    low_too = has[at] == low if len(has) else np.zeros(0, bool)
+    key, pos = np.r_[key, low[low_too]], np.r_[pos, pos[low_too]]
+    o = np.lexsort((pos, key))
+    key, pos = key[o], pos[o]
+    it = (key >> np.uint64(44)).astype(np.int64)
+    # windows over need hits in a row: they begin from lo to hi
+    i = np.arange(len(key))
+    j = i + ix["need"][it] - 1
+    i, j = i[j < len(key)], j[j < len(key)]
+    ok = (key[i] == key[j]) & (pos[j] - pos[i] <= ix["size"][it[i]] - q)
+    i, j = i[ok], j[ok]
+    if not len(i):
         return []
-    row = ((one >> np.uint64(32)) & np.uint64(0xFFF)).astype(np.int64)
-    k, size = ix["k"][seg], ix["size"][seg]
-    start = (one & np.uint64(0xFFFFFFFF)).astype(np.int64) * (k + 1) - ix["size"].max() - 1
+    key, it = key[i], it[i]
+    lo, hi = np.maximum(pos[j] - (ix["size"][it] - q), 0), np.minimum(pos[i], ix["length"][it] - ix["size"][it])
+    again = np.r_[False, key[1:] == key[:-1]]
+    lo[again] = np.maximum(lo[again], hi[:-1][again[1:]] + 1)
+    many = np.maximum(hi - lo + 1, 0)
+    key, it, begin = np.repeat(key, many), np.repeat(it, many), ragged(lo, many)
+    row = ((key >> np.uint64(32)) & np.uint64(0xFFF)).astype(np.int64)
+    k, size = ix["k"][it], ix["size"][it]
+    start = (key & np.uint64(0xFFFFFFFF)).astype(np.int64) * (k + 1) - shift + begin
     out: dict = {}
-    for a in range(0, len(one), 4096):
+    for a in range(0, len(key), 4096):
         s = slice(a, a + 4096)
         top = int(k[s].max())
-        edits = banded(ix["text"][seg[s]], size[s], k[s], c, start[s] - top, off[row[s]], off[row[s] + 1], 2 * (top + 1) + 2 * top)
-        for r, g, e, most in zip(row[s].tolist(), seg[s].tolist(), edits.tolist(), k[s].tolist()):
-            if e <= most:
-                x = out.setdefault((r, int(ix["item"][g])), {})
-                x[g] = min(e, x.get(g, e))
+        wide = ix["text"][(ix["begin"][it[s]] + begin[s])[:, None] + np.arange(int(size[s].max()))]
+        edits = banded(wide, size[s], k[s], c, start[s] - top, off[row[s]], off[row[s] + 1], 2 * (top + 1) + 2 * top)
+        good = edits <= k[s]
+        for r, g, b, e in zip(row[s][good].tolist(), it[s][good].tolist(), begin[s][good].tolist(), edits[good].tolist()):
+            x = out.setdefault((r, int(ix["item"][g])), {})
+            x[g, b] = min(e, x.get((g, b), e))
     return [(r, i, len(x), min(x.values())) for (r, i), x in out.items()]
 
 
@@ -178,9 +186,9 @@ def _scan(index):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, segment: int = SEGMENT, stride: int = STRIDE, least: int = MIN_CHARS, slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """(doc_id, item_id, segments, of, edits): documents that hold segments of a benchmark item within the edit budget; how
-    many, of how many, and the fewest edits."""
+def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, segment: int = SEGMENT, least: int = MIN_CHARS, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """(doc_id, item_id, segments, of, edits): documents that hold windows of SEGMENT characters of a benchmark item within
+    the edit budget; how many, of how many, and the fewest edits."""
     spark = ready(docs.sparkSession)
     docs = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null")
     items = only(benchmark, "item_id", "text").filter("item_id is not null and text is not null").distinct()
@@ -189,7 +197,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE,
     out = None
     for n in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == n).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], q, rate, segment, stride, least))
+        index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], q, rate, segment, least))
         one = docs.mapInArrow(_scan(index), "doc_id bigint, item_id bigint, segments int, of int, edits int")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("doc_id", "item_id").agg(F.max("segments").alias("segments"), F.max("of").alias("of"), F.min("edits").alias("edits"))
