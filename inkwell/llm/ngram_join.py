@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import ngram_hash, slices, trim, words
@@ -276,14 +276,32 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     return same.unionByName(near)
 
 
+def _with_class(n: int, at: int, text: int):
+    """Rows with _cls, their class, and _stay: whether they have no doc_id or no words (_cls then only spreads them)."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                row, g = _grams(part.column(text), n, None)
+                size, sh = _set_hash(row, g, part.num_rows)
+                stay = (size == 0) | np.asarray(part.column(at).is_null())
+                cls = np.where(stay, np.arange(part.num_rows), sh)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cls, pa.int64()), pa.array(stay, pa.bool_())], [*part.schema.names, "_cls", "_stay"])
+
+    return run
+
+
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that are similar, directly or through others, to a document of a lesser doc_id; rows that repeat the
-    kept document stay once. Rows with a null doc_id or without words stay."""
+    """One row of each group of documents that are similar, directly or through others: of the least doc_id, and of rows that
+    repeat it the first by the columns. A doc_id on unlike texts is in the group of each text. Rows with a null doc_id or
+    without words stay."""
     members, pairs = similar_classes(docs, n, threshold)
-    members = written(members, "members")
-    head = members.groupBy("cls").agg(F.min("doc_id").alias("head"))
-    joined = pairs.join(head.select(F.col("cls").alias("a"), F.col("head").alias("i")), "a").join(head.select(F.col("cls").alias("b"), F.col("head").alias("j")), "b")
-    equal = members.join(head, "cls").filter("doc_id <> head").select(F.col("doc_id").alias("i"), F.col("head").alias("j"))
-    roots = components(joined.select("i", "j").unionByName(equal), "i", "j")
-    gone = roots.filter("id <> root").select(F.col("id").alias("doc_id"))
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    roots = components(pairs, "a", "b").select(F.col("id").alias("cls"), "root")
+    groups = members.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls")).agg(F.min(F.struct("doc_id", "cls")).alias("k"))
+    kept = groups.select(F.col("k.doc_id").alias("_id"), F.col("k.cls").alias("_kept"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _cls bigint, _stay boolean"
+    rows = docs.mapInArrow(_with_class(n, docs.columns.index("doc_id"), docs.columns.index("text")), schema)
+    rows = rows.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_cls") == F.col("_kept")), "left")
+    order = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_cls").orderBy(*order)))
+    return rows.filter("_stay or (_kept is not null and _nth = 1)").select(*[F.col(f"`{c}`") for c in docs.columns])
