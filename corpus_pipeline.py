@@ -1,13 +1,14 @@
 """A corpus pipeline: each stage's result is written as Parquet and read again as the next one's documents.
 
 quality classifier -> n-gram Jaccard join -> benchmark decontamination -> mixing sources to target weights -> token ids.
-All stages but the last return the columns of documents; the last returns doc_id, n_tokens, control, data and,
-in one row, token_by_rank, with which all rows are decoded.
+All stages but the last return the columns of documents; the last returns doc_id, n_tokens, control, data,
+position (0, 1, 2 and so on in training order) and, in one row, token_by_rank, with which all rows are decoded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from inkwell.llm import decontaminate, mixing, ngram_join, quality, token_output
 from inkwell.llm.shared import written
@@ -33,9 +34,21 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return mixing.curriculum(docs).select(*docs.columns)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, text and position: the rows' number in the order in which they were written. docs is a table read from Parquet
+    files, whose names begin with the number of the task, a range of the sorted rows."""
+    rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    part = F.regexp_extract("_file", r"^part-(\d+)", 1).try_cast("long")
+    piece = F.regexp_extract("_file", r"-c(\d+)", 1).try_cast("long")
+    # one row for each file
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n"))
+    files = files.select("_file", (F.sum("_n").over(Window.orderBy(part, piece, "_file")) - F.col("_n")).alias("_before"))
+    return rows.join(F.broadcast(files), "_file").select("doc_id", "text", (F.col("_before") + F.col("_row")).alias("position"))
+
+
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document in binary."""
-    return token_output.encode(docs)[0]
+    """Token ids of each document in binary, with its position in training order."""
+    return token_output.encode(numbered(docs), keep=("position",))[0]
 
 
 STAGES = [
