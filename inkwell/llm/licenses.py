@@ -7,7 +7,7 @@ Unknown identifiers count as not permissive; a malformed expression is kept as `
 
 Defined cases: null and empty texts have no findings; documents without findings give no row; null doc_ids are scanned and
 keep the null; repeated rows give repeated rows; a tag at the end of a line without identifier is `invalid`; matching ignores
-ASCII case, and phrases may not start or end inside a word; an empty table gives no rows; other columns are ignored.
+ASCII case; for notices, runs of white space count as one space, with the comment marks around a line break; phrases may not start or end inside a word; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +34,14 @@ NOTICES = {
     "cc by-nc 4.0": "CC-BY-NC-4.0", "cc by-nc-sa 4.0": "CC-BY-NC-SA-4.0", "cc by-sa 4.0": "CC-BY-SA-4.0", "cc by-nd 4.0": "CC-BY-ND-4.0", "cc by 4.0": "CC-BY-4.0", "cc0 1.0": "CC0-1.0",
     "redistribution and use in source and binary forms": "BSD-3-Clause", "all rights reserved": "LicenseRef-Proprietary", "permission to use, copy, modify, and/or distribute": "ISC", "boost software license": "BSL-1.0",
 }
+for _v in ("2.0", "3.0"):  # the standard headers
+    for _sep in (", ", "; ", " "):
+        _gpl = f"gnu general public license as published by the free software foundation{_sep}"
+        NOTICES |= {f"{_gpl}either version {_v[0]}": f"GPL-{_v}-or-later", f"{_gpl}version {_v[0]}": f"GPL-{_v}-only"}
 _FOLD = {k.lower(): k for k in KNOWN} | ALIASES
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
+_MARK = r"(?:[*#/;%|!>]++|<!--+|--++>?|(?:dnl|rem)\b)"
+_GAP = re.compile(rf"(?:[^\S\n]++{_MARK}|\*/)?[^\S\n]*+\n\s*+(?:{_MARK}\s*+)*+|\s++")
 _RANK = {"OR": 1, "AND": 2, "WITH": 3}
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
 
@@ -117,17 +123,18 @@ def permissive(rpn: list[str]) -> bool | None:
 _state: dict = {}
 
 
-def automaton():
+def automata():
+    """Of the tags, and of the notices."""
     if "a" not in _state:
         import ahocorasick
 
-        a = ahocorasick.Automaton()
-        for t in TAGS:
-            a.add_word(t, (t, None))
-        for p, x in NOTICES.items():
-            a.add_word(p, (p, x))
-        a.make_automaton()
-        _state["a"] = a
+        _state["a"] = []
+        for words in ({t: None for t in TAGS}, NOTICES):
+            a = ahocorasick.Automaton()
+            for p, x in words.items():
+                a.add_word(p, (p, x))
+            a.make_automaton()
+            _state["a"].append(a)
     return _state["a"]
 
 
@@ -137,18 +144,19 @@ def scan(text: str | None):
         return None
     low = text.lower() if len(text.lower()) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     rpns, values, notices = [], [], set()
-    for end, (phrase, licence) in automaton().iter(low):
+    of_tags, of_notices = automata()
+    for end, (phrase, _) in of_tags.iter(low):
         start = end - len(phrase) + 1
-        if start and low[start - 1] in _WORD:
+        if start and low[start - 1] in _WORD or phrase == TAGS[2] and low.endswith("spdx-", 0, start):
             continue
-        if licence is None:
-            if phrase == TAGS[2] and low.endswith("spdx-", 0, start):
-                continue
-            rpn = postfix(expression_at(text, end + 1))
-            value = permissive(rpn) if rpn else None
-            rpns.append(" ".join(rpn) if value is not None else "invalid")
-            values.append(bool(value))
-        elif end + 1 >= len(low) or low[end + 1] not in _WORD:
+        rpn = postfix(expression_at(text, end + 1))
+        value = permissive(rpn) if rpn else None
+        rpns.append(" ".join(rpn) if value is not None else "invalid")
+        values.append(bool(value))
+    view = _GAP.sub(" ", low.replace("\r\n", "\n").replace("\r", "\n"))
+    for end, (phrase, licence) in of_notices.iter(view):
+        start = end - len(phrase) + 1
+        if not (start and view[start - 1] in _WORD) and (end + 1 >= len(view) or view[end + 1] not in _WORD):
             notices.add(licence)
     if not rpns and not notices:
         return None
