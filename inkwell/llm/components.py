@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import dropped, written
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -34,5 +34,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == last or now[0] == 0:
             break
         last = now
-        e = written(_small(_large(e)), "edges")
+        before, e = e, written(_small(_large(e)), "edges")
+        dropped(before)
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()

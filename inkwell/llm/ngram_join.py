@@ -5,7 +5,15 @@ set of its word n-grams (a text of 1 to n-1 words: the one gram of all its words
 ones first, then by hash. The counts come from a sketch of fixed size over *all* documents: a collision only changes the
 order, which is the same for all documents, so no pair is lost. Grams are 46-bit hashes.
 
-Documents with equal sets form a class and are joined as one; a pair of classes is verified once, on the whole sets.
+Documents with equal sets form a class and are joined as one. Classes that agree in half of their min-wise grams (of the
+middle of the order, where neither a copy's own grams nor common ones stand) with the bucket's least class form a group; this
+is a guess that only saves work. The join is on the prefix grams, packed and sorted, and makes pairs of classes of different
+groups only: so a group of thousands of near copies makes no pair for each of its grams. Pairs pass the length and positional
+filters, and the sum of their shared prefix grams has to reach the overlap together with what may lie behind the prefixes.
+Groups and the pairs left are united; each united set of classes is verified on whole sets, each pair once, in blocks of
+bounded size (BLOCK_DOCS, BLOCK_GRAMS; each class's set travels once for each block it meets). Two classes alone go through
+the suffix filter first. The number of links within a group of near copies is quadratic in it, and so is this last step, as
+products of bit matrices; nothing is emitted for a pair.
 
 Defined cases: null or wordless texts are in no pair; a null doc_id is in no pair; rows that repeat a doc_id with the same
 grams count once; rows that repeat a doc_id with other grams are other texts of that document; an empty table gives no
@@ -19,17 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import ngram_hash, slices, trim, words
+from .arrays import ngram_hash, ragged, slices, trim, words
 from .components import components
-from .shared import key_bitmap, may_hold, only, ready, written
+from .shared import dropped, key_bitmap, may_hold, only, ready, written
 
 N, THRESHOLD = 2, 0.65
-SKETCH = 1 << 20
-#: Candidate rows that a task holds before it sums them and, if they stay many, hands them on.
-HELD = 500_000
-CHUNK = 1 << 14
-HASH_BITS, DOC_BITS = 46, 12
+SKETCH = 1 << 22
+CHUNK = 1 << 16
+HASH_BITS = 46
 _MASK = np.uint64((1 << HASH_BITS) - 1)
+#: Min-wise grams of a class.
+KEYS = 16
+#: Prefix rows that a task packs at once, candidate rows that it holds before it sums them, pairs that it makes at once.
+PACKED, HELD, STEP = 1_000_000, 500_000, 1 << 20
+#: Classes and grams of a block, about.
+BLOCK_DOCS, BLOCK_GRAMS = 1024, 2_000_000
 
 
 def _overlap(t: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -43,21 +55,21 @@ def _grams(col: pa.Array, n: int, order: np.ndarray | None) -> tuple[np.ndarray,
     g, row = ngram_hash(h, row, n)
     g &= _MASK
     key = g if order is None else g | (order[(g & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS))
-    if order is None:
-        key = np.unique(key | (row.astype(np.uint64) << np.uint64(HASH_BITS + 6)))
-        return (key >> np.uint64(HASH_BITS + 6)).astype(np.int64), key & _MASK
     key = np.unique(key | (row.astype(np.uint64) << np.uint64(HASH_BITS + 6)))
-    return (key >> np.uint64(HASH_BITS + 6)).astype(np.int64), key & np.uint64((1 << (HASH_BITS + 6)) - 1)
+    return (key >> np.uint64(HASH_BITS + 6)).astype(np.int64), key & (_MASK if order is None else np.uint64((1 << (HASH_BITS + 6)) - 1))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
 
 
 def _set_hash(row: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Size and order-free hash of each row's set of grams."""
     size = np.bincount(row, minlength=rows)
-    h = (g & _MASK) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    total = np.r_[np.uint64(0), np.cumsum(h, dtype=np.uint64)]
+    total = np.r_[np.uint64(0), np.cumsum(_mixed(g & _MASK), dtype=np.uint64)]
     ends = np.cumsum(size)
     s = total[ends] - total[ends - size]
     s = (s ^ (s >> np.uint64(30))) * np.uint64(0x94D049BB133111EB) + size.astype(np.uint64)
@@ -65,35 +77,57 @@ def _set_hash(row: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray, np
 
 
 def _profile(n: int):
-    """doc_id, class, size by document; and the task's share of the gram counts."""
+    """doc_id, class, rows by document; and the task's share of the gram counts."""
 
     def run(batches):
-        counts = np.zeros(SKETCH, np.int64)
+        counts = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for part in slices(batch, 1):
                 row, g = _grams(part.column(1), n, None)
-                counts += np.bincount((g & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) if len(g) > SKETCH // 8 else 0
-                if len(g) <= SKETCH // 8:
-                    np.add.at(counts, (g & np.uint64(SKETCH - 1)).astype(np.int64), 1)
+                np.add.at(counts, (g & np.uint64(SKETCH - 1)).astype(np.int64), np.uint32(1))
                 size, sh = _set_hash(row, g, part.num_rows)
-                has = size > 0
+                has = (size > 0) & ~np.asarray(part.column(0).is_null())
                 m = int(has.sum())
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(has)), pa.array(sh[has]), pa.array(size[has], pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "cls", "size", "block", "counts"])
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(has)), pa.array(sh[has]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], ["doc_id", "cls", "block", "counts"])
         if counts.any():
-            c = np.minimum(counts, 2**32 - 1).astype(np.uint32).reshape(-1, CHUNK)
+            c = counts.reshape(-1, CHUNK)
             k = len(c)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array(np.arange(k), pa.int32()), pa.array([x.tobytes() for x in c], pa.binary())], ["doc_id", "cls", "size", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(k), pa.int32()), pa.array([packed(x) for x in c], pa.binary())], ["doc_id", "cls", "block", "counts"])
+        del counts
+        trim()
 
     return run
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Arrays of whole numbers of at least 0, or of int64: byte planes, compressed."""
+    out = [np.array([len(columns)], "<u4").tobytes()]
+    for x in columns:
+        x = x.view(np.uint64) if x.dtype == np.int64 else x.astype(np.uint64)
+        data = pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True) if len(x) else b""
+        out += [np.array([len(x), len(data)], "<u4").tobytes(), data]
+    return b"".join(out)
+
+
+def unpacked(data) -> list[np.ndarray]:
+    """The arrays, as uint64."""
+    data = memoryview(data)
+    out, at = [], 4
+    for _ in range(int(np.frombuffer(data[:4], "<u4")[0])):
+        n, size = (int(x) for x in np.frombuffer(data[at : at + 8], "<u4"))
+        at += 8
+        out.append(np.ascontiguousarray(np.frombuffer(pa.decompress(data[at : at + size], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n).T).view(np.uint64).ravel() if n else np.zeros(0, np.uint64))
+        at += size
+    return out
+
+
 def _order(profile: DataFrame) -> np.ndarray:
     """The sketch's counts by class (log2): SKETCH bytes, whatever the input's size."""
 
     def add(pdf):
         import pandas as pd
 
-        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in pdf["counts"])
+        total = sum(unpacked(x)[0] for x in pdf["counts"])
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "cls": [np.floor(2 * np.log2(total.astype(float) + 1)).clip(0, 63).astype(np.uint8).tobytes()]})
 
     out = np.zeros(SKETCH, np.uint8)
@@ -103,7 +137,8 @@ def _order(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(n: int, t: float, order):
-    """Rows (gram, class, size << 32 | position) for the first size - ceil(t * size) + 1 grams of each set."""
+    """(class, size, prefix, keys): the first size - ceil(t * size) + 1 grams of each set in order, six bytes each; the least
+    mixed hashes of its grams from a fifth to three fifths of the order."""
 
     def run(batches):
         rank = order.value
@@ -112,12 +147,64 @@ def _prefixes(n: int, t: float, order):
                 row, g = _grams(part.column(0), n, rank)
                 size, sh = _set_hash(row, g, part.num_rows)
                 first = np.cumsum(size) - size
-                pos = np.arange(len(g)) - first[row]
+                g &= _MASK
+                six = g.view(np.uint8).reshape(-1, 8)[:, :6]
+                mixed = _mixed(g)
                 _, one = np.unique(sh, return_index=True)
-                lone = np.zeros(part.num_rows, bool)
-                lone[one] = True
-                keep = (pos < (size - np.ceil(t * size - 1e-9).astype(np.int64) + 1)[row]) & lone[row]
-                yield pa.RecordBatch.from_arrays([pa.array((g[keep] & _MASK).astype(np.int64)), pa.array(sh[row[keep]]), pa.array((size[row[keep]] << 32) | pos[keep])], ["gram", "cls", "at"])
+                one = one[size[one] > 0]
+                take = size[one] - np.ceil(t * size[one] - 1e-9).astype(np.int64) + 1
+                keys = []
+                for k in one:
+                    m = mixed[first[k] + size[k] // 5 : first[k] + max(3 * size[k] // 5, 1)]
+                    keys.append(np.sort(np.partition(m, KEYS)[:KEYS] if len(m) > KEYS else m).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(sh[one]), pa.array(size[one], pa.int32()), pa.array([six[first[k] : first[k] + m].tobytes() for k, m in zip(one, take)], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["cls", "size", "prefix", "keys"])
+
+    return run
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    """(id, root): classes that share at least half of their keys with the least class of those keys' buckets."""
+    at = rows.select("cls", F.explode("keys").alias("key"), F.size("keys").alias("n")).distinct()
+    low = at.groupBy("key").agg(F.min("cls").alias("low"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    near = at.join(low, "key").filter("cls <> low").groupBy("cls", "low").agg(F.count("*").alias("k"), F.first("n").alias("n"))
+    return components(near.filter("2 * k >= n and k > 3").select(F.col("cls").alias("a"), F.col("low").alias("b")))
+
+
+def _spread(parts: int):
+    """Packs prefix grams by part (the gram modulo parts): rows in order of gram, with their document, position; and the documents."""
+
+    def flush(held):
+        sizes = np.array([s for _, s, _, _ in held], np.int64)
+        cls, root = (np.array([x[k] for x in held], np.int64) for k in (0, 2))
+        count = np.array([len(p) // 6 for *_, p in held], np.int64)
+        raw = np.zeros((int(count.sum()), 8), np.uint8)
+        raw[:, :6] = np.frombuffer(b"".join(p for *_, p in held), np.uint8).reshape(-1, 6)
+        g = raw.view(np.uint64).ravel()
+        doc = np.repeat(np.arange(len(held)), count)
+        pos = np.arange(len(g)) - np.repeat(np.cumsum(count) - count, count)
+        part, rest = (g % np.uint64(parts)).astype(np.int64), g // np.uint64(parts)
+        o = np.lexsort((rest, part))
+        part, rest, doc, pos = part[o], rest[o], doc[o], pos[o]
+        cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else [0]
+        blobs = []
+        for a, z in zip(cut[:-1], cut[1:]):
+            docs, at = np.unique(doc[a:z], return_inverse=True)
+            blobs.append(packed(np.diff(rest[a:z], prepend=np.uint64(0)), at, pos[a:z], cls[docs], sizes[docs], root[docs]))
+        return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            for cls, size, root, p in zip(*[b.column(k).to_pylist() for k in range(4)]):
+                held.append((cls, size, root, p))
+                n += len(p) // 6
+                if n >= PACKED:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
+        del held
+        trim()
 
     return run
 
@@ -130,52 +217,55 @@ def _counted(a, b, s, n):
     return a[cut], b[cut], s[cut], np.add.reduceat(n, cut) if len(a) else n
 
 
-def _candidates(t: float):
-    """(a, b, sizes, shared prefix grams) of classes that pass the length filter and the positional filter of that gram; the
-    input is partitioned by gram."""
-
-    def pairs(g, c, at):
-        o = np.lexsort((c, g))
-        g, c, at = g[o], c[o], at[o]
-        keep = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])][: len(g)]
-        g, c, at = g[keep], c[keep], at[keep]
-        size, pos = at >> 32, at & 0xFFFFFFFF
-        found, held = [], 0
-        d, live = 1, np.arange(len(g))
-        while True:
-            live = live[live + d < len(g)]
-            live = live[g[live] == g[live + d]]
-            if not len(live):
-                break
-            i, j = live, live + d
-            fits = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
-            i, j = i[fits], j[fits]
-            fits = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= _overlap(t, size[i], size[j])
-            i, j = i[fits], j[fits]
-            found.append((c[i], c[j], size[i] << 32 | size[j], np.ones(len(i), np.int64)))
-            held += len(i)
-            if held > HELD:
-                found = [_counted(*[np.concatenate(x) for x in zip(*found)])]
-                held = len(found[0][0])
-                if held > HELD // 2:
-                    yield found.pop()
-                    held = 0
-            d += 1
-        if found:
-            yield _counted(*[np.concatenate(x) for x in zip(*found)])
+def _pairs(t: float, blobs):
+    """(a, b, sizes, shared prefix grams) of classes of different groups that pass the length filter and the positional filter."""
+    read = [unpacked(x) for x in blobs]
+    g = np.concatenate([np.cumsum(x[0]) for x in read])
+    c, size, root = (np.concatenate([x[k][x[1].astype(np.int64)] for x in read]).view(np.int64) for k in (3, 4, 5))
+    pos = np.concatenate([x[2] for x in read]).view(np.int64)
+    del read
+    o = np.lexsort((c, root, g))
+    g, c, size, root, pos = g[o], c[o], size[o], root[o], pos[o]
+    keep = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])][: len(g)]
+    g, c, size, root, pos = g[keep], c[keep], size[keep], root[keep], pos[keep]
+    cut = np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])
+    ends = np.repeat(cut[1:], np.diff(cut))
+    cut = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (root[1:] != root[:-1]), True])
+    runs = np.repeat(cut[1:], np.diff(cut))
+    left = np.flatnonzero(ends > runs)
+    total = np.cumsum((ends - runs)[left])
+    found, held, at = [], 0, 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
+        few = left[at:to]
+        i, j = np.repeat(few, (ends - runs)[few]), ragged(runs[few], (ends - runs)[few])
+        at = to
+        fits = np.minimum(size[i], size[j]) >= t * np.maximum(size[i], size[j]) - 1e-9
+        i, j = i[fits], j[fits]
+        fits = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j]) >= _overlap(t, size[i], size[j])
+        i, j = i[fits], j[fits]
+        i, j = np.where(c[i] < c[j], i, j), np.where(c[i] < c[j], j, i)
+        found.append((c[i], c[j], size[i] << 32 | size[j], np.ones(len(i), np.int64)))
+        held += len(i)
+        if held > HELD:
+            found = [_counted(*[np.concatenate(x) for x in zip(*found)])]
+            held = len(found[0][0])
+            if held > HELD // 2:
+                yield found.pop()
+                held = 0
+    if found:
+        yield _counted(*[np.concatenate(x) for x in zip(*found)])
+
 
+def _candidates(t: float):
     def run(batches):
-        parts = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()) for b in batches]
-        if not parts:
-            return
-        g, c, at = (np.concatenate([p[k] for p in parts]) for k in range(3))
-        _, inv, cnt = np.unique(g, return_inverse=True, return_counts=True)
-        many = cnt[inv] > 1
-        g, c, at = g[many], c[many], at[many]
-        del parts, inv, cnt, many
-        for p in pairs(g, c, at):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["a", "b", "sizes", "n"])
-        del g, c, at
+        parts: dict[int, list] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1)):
+                parts.setdefault(k, []).append(x.as_py())
+        for k in list(parts):
+            for p in _pairs(t, parts.pop(k)):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], ["a", "b", "sizes", "n"])
         trim()
 
     return run
@@ -190,20 +280,20 @@ def _prefix_sums(found: DataFrame, t: float) -> DataFrame:
     return x.filter(F.col("n") + rest >= need).select("a", "b")
 
 
-def _sets(n: int, order, wanted):
-    """(doc_id, class, grams in join order as bytes) of the documents that may stand for a class with candidates: each (doc_id,
-    class) of a slice once, as the bitmap also lets documents through that don't."""
+def _sets(n: int, wanted):
+    """(doc_id, class, size, grams) of the documents that may stand for a class with candidates: each (doc_id, class) of a slice
+    once, as the bitmap also lets documents through that don't."""
 
     def run(batches):
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(wanted.value, np.asarray(batch.column(0).fill_null(0)))))
             for part in slices(batch, 1):
-                row, g = _grams(part.column(1), n, order.value)
+                row, g = _grams(part.column(1), n, None)
                 size, sh = _set_hash(row, g, part.num_rows)
                 ends = np.cumsum(size)
                 _, one = np.unique(np.stack([sh, np.asarray(part.column(0))]), axis=1, return_index=True)
                 one = one[size[one] > 0]
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(one)), pa.array(sh[one]), pa.array([g[ends[k] - size[k] : ends[k]].tobytes() for k in one], pa.binary())], ["doc_id", "cls", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(one)), pa.array(sh[one]), pa.array([packed(np.diff(g[ends[k] - size[k] : ends[k]], prepend=np.uint64(0))) for k in one], pa.binary())], ["doc_id", "cls", "grams"])
 
     return run
 
@@ -218,62 +308,130 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int = 3) -> int:
     return suffix_bound(x[:mid], y[:at], depth - 1) + hit + suffix_bound(x[mid + 1 :], y[at + hit :], depth - 1)
 
 
+def _linked(t: float, sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Which pairs have a Jaccard similarity of t: of all sets, or of those of side 0 with those of side 1."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    need = _overlap(t, size[:, None], size[None, :])
+    if m == 2 and suffix_bound(*sets) < need[0, 1]:
+        return np.zeros((2, 2), bool)
+    _, at, cnt = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(m), size)
+    many = cnt > 1
+    name = np.cumsum(many) - 1
+    row, at = row[many[at]], name[at[many[at]]]
+    o = np.argsort(at, kind="stable")
+    row, at = row[o], at[o]
+    common = np.zeros((m, m), np.float32)
+    width = max(256, (1 << 23) // m)
+    for a in range(0, int(many.sum()), width):
+        lo, hi = np.searchsorted(at, (a, a + width))
+        x = np.zeros((m, min(width, int(many.sum()) - a)), np.float32)
+        x[row[lo:hi], at[lo:hi] - a] = 1
+        common += x @ x.T
+    both = common >= need
+    if side.any():
+        both &= side[:, None] != side[None, :]
+    np.fill_diagonal(both, False)
+    return both
+
+
 def _verify(t: float):
+    """(class, root, links): each class of a block, the least class that it is connected with in it, the number of classes that it
+    is similar to. The input is sorted by block."""
+
+    def block(rows):
+        cls = np.array([r[0] for r in rows], np.int64)
+        both = _linked(t, [np.cumsum(unpacked(r[2])[0], dtype=np.uint64) for r in rows], np.array([r[1] for r in rows]))
+        root = cls
+        while True:
+            low = np.minimum(root, np.where(both, root[None, :], np.iinfo(np.int64).max).min(1))
+            if (low == root).all():
+                break
+            root = low
+        n = both.sum(1)
+        return cls, root, n
+
     def run(batches):
+        key, rows, out = None, [], []
+
+        def made():
+            b = pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["cls", "root", "links"])
+            out.clear()
+            return b
+
         for b in batches:
-            out = []
-            for a, c, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                need = int(_overlap(t, np.int64(len(x)), np.int64(len(y))))
-                if suffix_bound(x, y) < need:
-                    continue
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                if both >= need:
-                    out.append((a, c, both, len(x), len(y)))
-            cols = list(zip(*out)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[2:]]], ["a", "b", "common", "size_a", "size_b"])
+            for k, i, j, side, cls, grams in zip(*[c.to_pylist() for c in b.columns]):
+                if (k, i, j) != key:
+                    if len(rows) > 1:
+                        out.append(block(rows))
+                    key, rows = (k, i, j), []
+                rows.append((cls, side, grams))
+            if out:
+                yield made()
+        if len(rows) > 1:
+            out.append(block(rows))
+            yield made()
+        trim()
 
     return run
 
 
 def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): (doc_id, cls) for each document with words; (a, b, common, size_a, size_b) for pairs of classes."""
+    """(members, linked): (doc_id, cls, rows) for each document with words; (cls, root, links) for classes that are similar to
+    others: the least class that each is connected with, and the number of classes that it is similar to."""
     spark = ready(docs.sparkSession)
     docs = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null")
-    schema = "doc_id bigint, cls bigint, size int, block int, counts binary"
-    profile = written(docs.mapInArrow(_profile(n), schema), "profile")
-    order = spark.sparkContext.broadcast(_order(profile))
-    members = profile.filter("block is null").select("doc_id", "cls").distinct()
-    heads = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    rows = docs.select("text").mapInArrow(_prefixes(n, threshold, order), "gram bigint, cls bigint, at bigint")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.repartition(parts, "gram").mapInArrow(_candidates(threshold), "a bigint, b bigint, sizes bigint, n bigint")
+    profile = written(docs.mapInArrow(_profile(n), "doc_id bigint, cls bigint, block int, counts binary"), "profile")
+    order = spark.sparkContext.broadcast(_order(profile))
+    members = written(profile.filter("block is null").groupBy("doc_id", "cls").agg(F.count("*").alias("rows")), "members")
+    dropped(profile)
+    rows = written(docs.select("text").mapInArrow(_prefixes(n, threshold, order), "cls bigint, size int, prefix binary, keys array<bigint>"), "prefixes")
+    sizes = rows.select("cls", "size").distinct()
+    groups = written(_groups(rows), "groups")
+    found = rows.join(groups, rows["cls"] == groups["id"], "left").select("cls", "size", F.coalesce("root", "cls").alias("root"), "prefix")
+    found = found.mapInArrow(_spread(4 * parts), "part int, rows binary").repartition(parts, "part").mapInArrow(_candidates(threshold), "a bigint, b bigint, sizes bigint, n bigint")
     found = written(_prefix_sums(found, threshold), "candidates")
-    ends = found.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = written(heads.join(ends, "cls", "left_semi"), "heads")
+    united = written(components(found.unionByName(groups.select(F.col("id").alias("a"), F.col("root").alias("b")))), "united")
+    # blocks of the united classes, by the classes' hashes
+    whole = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
+    at = united.join(sizes, united["id"] == sizes["cls"])
+    blocks = at.groupBy("root").agg(whole.alias("blocks"))
+    at = at.join(blocks, "root").select("cls", "root", "blocks", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("mine"))
+    heads = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    wanted = written(at.join(heads, "cls"), "wanted")
+    dropped(rows, groups, found, united)
     bitmap = key_bitmap(wanted.select("doc_id"), wanted.count())
-    sets = docs.mapInArrow(_sets(n, order, bitmap), "doc_id bigint, cls bigint, grams binary")
-    sets = sets.join(wanted, ["doc_id", "cls"], "left_semi").select("cls", "grams").dropDuplicates(["cls"])
-    both = found.join(sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("cls").alias("b"), F.col("grams").alias("y")), "b").select("a", "b", "x", "y")
-    pairs = both.mapInArrow(_verify(threshold), "a bigint, b bigint, common int, size_a int, size_b int")
-    return members, pairs
+    sets = docs.mapInArrow(_sets(n, bitmap), "doc_id bigint, cls bigint, grams binary").join(wanted, ["doc_id", "cls"])
+    # a class occurs once for each slice that holds its document
+    sets = sets.groupBy("doc_id", "cls").agg(F.first("root").alias("root"), F.first("blocks").alias("blocks"), F.first("mine").alias("mine"), F.first("grams").alias("grams"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "mine").alias("i"), F.greatest(o, "mine").alias("j"), (o < F.col("mine")).cast("int").alias("side")))
+    sets = sets.select("root", "cls", "grams", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "p.side", "cls", "grams")
+    sets = sets.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    checked = written(sets.mapInArrow(_verify(threshold), "cls bigint, root bigint, links bigint"), "checked")
+    dropped(wanted)
+    roots = components(checked.select(F.col("cls").alias("a"), F.col("root").alias("b")))
+    links = checked.groupBy("cls").agg(F.sum("links").alias("links")).filter("links > 0")
+    linked = written(links.join(roots, links["cls"] == roots["id"]).select("cls", "root", "links"), "linked")
+    dropped(checked)
+    return members, linked
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """All pairs of documents whose n-gram sets have a Jaccard similarity of at least threshold.
+    """(doc_id, class, copies, links) for each document that is similar to another: the n-gram sets' Jaccard similarity is at
+    least threshold.
 
-    One row for each class of two or more documents with equal sets (doc_ids: all of them, jaccard 1), and one for each pair
-    of classes (doc_ids: the least doc_id of either): the pairs are those within a row's class, and those of the members of
-    the two classes. In this form the result grows with the documents where thousands are copies of one.
+    class: the least doc_id of the documents that it is connected with, directly or through others; copies: the number of other
+    documents with an equal set; links: the number of other sets that its own is similar to. A doc_id that stands on unlike texts
+    has a row for each of their sets that has copies or links.
     """
-    members, pairs = similar_classes(docs, n, threshold)
-    members = written(members, "members")
-    cls = members.groupBy("cls").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
-    same = cls.filter(F.size("ids") > 1).select(F.col("ids").alias("doc_ids"), F.lit(1.0).alias("jaccard"), F.lit("equal").alias("kind"))
-    head = members.groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    near = pairs.join(head.select(F.col("cls").alias("a"), F.col("doc_id").alias("i")), "a").join(head.select(F.col("cls").alias("b"), F.col("doc_id").alias("j")), "b")
-    near = near.select(F.array(F.least("i", "j"), F.greatest("i", "j")).alias("doc_ids"), (F.col("common") / (F.col("size_a") + F.col("size_b") - F.col("common"))).alias("jaccard"), F.lit("near").alias("kind"))
-    return same.unionByName(near)
+    members, linked = similar_classes(docs, n, threshold)
+    each = members.groupBy("cls").agg(F.min("doc_id").alias("least"), (F.count("*") - 1).alias("copies"))
+    each = each.join(linked, "cls", "left").select("cls", "least", "copies", F.coalesce("root", "cls").alias("root"), F.coalesce("links", F.lit(0)).alias("links")).filter("copies > 0 or links > 0")
+    least = each.groupBy("root").agg(F.min("least").alias("class"))
+    each = each.join(least, "root").select("cls", "class", "copies", "links")
+    return members.join(each, "cls").select("doc_id", "class", "copies", "links")
 
 
 def _with_class(n: int, at: int, text: int):
@@ -291,17 +449,37 @@ def _with_class(n: int, at: int, text: int):
     return run
 
 
+def _side(at: int, bitmap, inside: bool):
+    """The rows whose doc_id the bitmap may hold, or the others."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(at)
+            has = may_hold(bitmap.value, np.asarray(ids.fill_null(0))) & ~np.asarray(ids.is_null())
+            yield batch.filter(pa.array(has if inside else ~has))
+
+    return run
+
+
 def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """One row of each group of documents that are similar, directly or through others: of the least doc_id, and of rows that
     repeat it the first by the columns. A doc_id on unlike texts is in the group of each text. Rows with a null doc_id or
-    without words stay."""
-    members, pairs = similar_classes(docs, n, threshold)
-    roots = components(pairs, "a", "b").select(F.col("id").alias("cls"), "root")
-    groups = members.join(roots, "cls", "left").groupBy(F.coalesce("root", "cls")).agg(F.min(F.struct("doc_id", "cls")).alias("k"))
-    kept = groups.select(F.col("k.doc_id").alias("_id"), F.col("k.cls").alias("_kept"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", _cls bigint, _stay boolean"
-    rows = docs.mapInArrow(_with_class(n, docs.columns.index("doc_id"), docs.columns.index("text")), schema)
-    rows = rows.join(kept, (F.col("doc_id") == F.col("_id")) & (F.col("_cls") == F.col("_kept")), "left")
+    without words stay.
+
+    Only rows whose doc_id has something to lose (a bitmap, with an exact join behind it) are shuffled."""
+    members, linked = similar_classes(docs, n, threshold)
+    roots = linked.select("cls", "root")
+    at = members.join(roots, "cls", "left").select("doc_id", "cls", "rows", F.coalesce("root", "cls").alias("root"))
+    groups = at.groupBy("root").agg(F.min(F.struct("doc_id", "cls")).alias("k"))
+    at = at.join(groups, "root").select(F.col("doc_id").alias("_id"), F.col("cls").alias("_of"), "rows", (F.struct("doc_id", "cls") == F.col("k")).alias("_kept"))
+    fate = written(at, "fate")
+    lose = fate.filter("not _kept or rows > 1").select("_id").distinct()
+    bitmap = key_bitmap(lose, lose.count())
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    where = docs.columns.index("doc_id")
+    clear = docs.mapInArrow(_side(where, bitmap, False), schema)
+    rows = docs.mapInArrow(_side(where, bitmap, True), schema).mapInArrow(_with_class(n, where, docs.columns.index("text")), schema + ", _cls bigint, _stay boolean")
+    rows = rows.join(fate.filter("_kept"), (F.col("doc_id") == F.col("_id")) & (F.col("_cls") == F.col("_of")), "left").filter("_stay or _kept")
     order = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_cls").orderBy(*order)))
-    return rows.filter("_stay or (_kept is not null and _nth = 1)").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return clear.unionByName(rows.filter("_stay or _nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns]))

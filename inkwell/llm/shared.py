@@ -29,9 +29,12 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; one of our own only where that is unset and Spark runs in one
+    process, as in tests. A cluster has to name one."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="inkwell-")
         shared_dir.own = d
     return d.rstrip("/")
@@ -44,6 +47,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The columns that an operator reads, whatever other columns there are."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -40,30 +40,61 @@ def grams(text, n=2):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
+def joined(rows):
+    """(doc_id, class, copies, links) by brute force over (doc_id, text)."""
+    members = sorted({(i, frozenset(grams(t))) for i, t in rows if i is not None and t and grams(t)}, key=lambda x: x[0])
+    sets = list({s for _, s in members})
+    root = list(range(len(sets)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    links = [0] * len(sets)
+    for a in range(len(sets)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.65 * len(sets[a] | sets[b]) - 1e-9:
+                links[a], links[b] = links[a] + 1, links[b] + 1
+                root[find(a)] = find(b)
+    at = {s: k for k, s in enumerate(sets)}
+    least, copies = {}, {}
+    for i, s in members:
+        least.setdefault(find(at[s]), i)
+        copies[s] = copies.get(s, -1) + 1
+    return {(i, least[find(at[s])], copies[s], links[at[s]]) for i, s in members if copies[s] or links[at[s]]}
+
+
 def test_ngram_join_equals_brute_force(spark):
     rows = corpus()
-    sets = {i: grams(t) for i, t in rows if i is not None and t and grams(t)}
-    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.65}
-    got = ngram_join.jaccard_join(docs(spark, rows).withColumn("gram", F.lit(1))).collect()
-    cls = {}
-    for r in got:
-        if r["kind"] == "equal":
-            for i in r["doc_ids"]:
-                cls[i] = r["doc_ids"]
-    pairs = {tuple(sorted((a, b))) for r in got if r["kind"] == "equal" for a in r["doc_ids"] for b in r["doc_ids"] if a < b}
-    for r in got:
-        if r["kind"] == "near":
-            i, j = r["doc_ids"]
-            pairs |= {tuple(sorted((a, b))) for a in cls.get(i, [i]) for b in cls.get(j, [j])}
-    assert pairs == want
+    d = docs(spark, rows).withColumn("gram", F.lit(1)).withColumn("cls", F.lit("x"))
+    got = [tuple(r) for r in ngram_join.jaccard_join(d).collect()]
+    assert len(got) == len(set(got)) and set(got) == joined(rows)
     kept = ngram_join.one_of_each(docs(spark, rows))
     assert kept.columns == docs(spark, rows).columns
     ids = [r["doc_id"] for r in kept.collect()]
-    assert None in ids and 102 in ids and 103 in ids and ids.count(0) == 1 and 101 not in ids
-    assert not {(a, b) for a in ids for b in ids if a is not None and b is not None and (a, b) in want}
-
-
-def test_ngram_join_keeps_pairs_of_classes_with_many_copies(spark, monkeypatch):
+    cls = {i: c for i, c, _, _ in got}
+    assert sorted(i for i in ids if i is not None) == sorted({i for i, _ in rows if i is not None and cls.get(i, i) == i}) and ids.count(None) == 1
+
+
+def test_ngram_join_of_large_groups_in_small_blocks(spark, monkeypatch):
+    r = random.Random(8)
+    rows = []
+    for k in range(3):
+        base = words(70, 500 + k).split()
+        for i in range(40):
+            w = list(base)
+            for _ in range(r.randint(0, 14)):
+                w[r.randrange(len(w))] = f"n{r.randrange(10**6)}"
+            rows += [(k * 1000 + i, " ".join(w))] * r.choice((1, 1, 2))
+    rows += [(9000, rows[0][1]), (9001, rows[0][1]), (9000, rows[60][1]), (0, rows[70][1])]
+    r.shuffle(rows)
+    want = joined(rows)
+    for values in ({}, {"BLOCK_DOCS": 7, "STEP": 50, "HELD": 20, "PACKED": 300}, {"BLOCK_GRAMS": 900, "KEYS": 4}):
+        with monkeypatch.context() as m:
+            for name, value in values.items():
+                m.setattr(ngram_join, name, value)
+            got = [tuple(x) for x in ngram_join.jaccard_join(docs(spark, rows).repartition(3)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, values
+    assert ngram_join.jaccard_join(docs(spark, [])).count() == 0 and ngram_join.one_of_each(docs(spark, [])).count() == 0
+
+
+def test_ngram_join_finds_one_head_whatever_the_bitmap_lets_through(spark, monkeypatch):
     base = [words(60, 900 + k) for k in range(4)]
     near = [b + " another end" for b in base]
     rows = [(i, t) for k in range(4) for t, ids in ((base[k], range(k * 1000, k * 1000 + 60)), (near[k], range(k * 1000 + 500, k * 1000 + 540))) for i in ids]
@@ -71,8 +102,14 @@ def test_ngram_join_keeps_pairs_of_classes_with_many_copies(spark, monkeypatch):
     rows.sort(key=lambda r: r[0] in (0, 1000, 2000, 3000, 500, 1500, 2500, 3500))  # the heads come last
     monkeypatch.setattr(ngram_join, "key_bitmap", lambda keys, n: keys.sparkSession.sparkContext.broadcast(np.full(1 << 12, 255, np.uint8)))
     got = ngram_join.jaccard_join(docs(spark, rows).coalesce(1)).collect()
-    assert sorted(r["doc_ids"] for r in got if r["kind"] == "near") == [[k * 1000, k * 1000 + 500] for k in range(4)]
-    assert sorted(len(r["doc_ids"]) for r in got if r["kind"] == "equal") == [40] * 4 + [60] * 4
+    assert {tuple(r) for r in got} == {(i, i // 1000 * 1000, 39 if i % 1000 >= 500 else 59, 1) for i, _ in rows}
+
+
+def test_packed_columns_come_back():
+    r = np.random.default_rng(5)
+    cols = [r.integers(0, 2**63, 100, np.uint64), np.zeros(0, np.uint64), np.arange(7, dtype=np.int64), np.array([-5, 3], np.int64)]
+    back = ngram_join.unpacked(ngram_join.packed(*cols))
+    assert all((b.view(c.dtype) == c).all() and len(b) == len(c) for b, c in zip(back, cols))
 
 
 def test_suffix_bound_is_a_bound():
