@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import dropped, written
+from .shared import delete, written
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -35,5 +35,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             break
         last = now
         before, e = e, written(_small(_large(e)), "edges")
-        dropped(before)
+        delete(before)
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()

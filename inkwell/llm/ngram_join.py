@@ -6,14 +6,15 @@ ones first, then by hash. The counts come from a sketch of fixed size over *all*
 order, which is the same for all documents, so no pair is lost. Grams are 46-bit hashes.
 
 Documents with equal sets form a class and are joined as one. Classes that agree in half of their min-wise grams (of the
-middle of the order, where neither a copy's own grams nor common ones stand) with the bucket's least class form a group; this
-is a guess that only saves work. The join is on the prefix grams, packed and sorted, and makes pairs of classes of different
+middle of the order, where neither a copy's own grams nor common ones stand) with the bucket's least row form a group; this is
+a guess that only saves work. The join is on the prefix grams, packed and sorted, and makes pairs of classes of different
 groups only: so a group of thousands of near copies makes no pair for each of its grams. Pairs pass the length and positional
-filters, and the sum of their shared prefix grams has to reach the overlap together with what may lie behind the prefixes.
-Groups and the pairs left are united; each united set of classes is verified on whole sets, each pair once, in blocks of
-bounded size (BLOCK_DOCS, BLOCK_GRAMS; each class's set travels once for each block it meets). Two classes alone go through
-the suffix filter first. The number of links within a group of near copies is quadratic in it, and so is this last step, as
-products of bit matrices; nothing is emitted for a pair.
+filters, the sum of their shared prefix grams has to reach the overlap together with what may lie behind the prefixes, and the
+suffix filter bounds that before any whole set is moved: sets whose parity bitmaps (one to two bits a gram) differ in d bits
+differ in d grams at least. Groups and the pairs left are united; each united set of classes is verified on whole sets, each
+pair once, in blocks of bounded size (BLOCK_DOCS, BLOCK_GRAMS; each class's set travels once for each block it meets). Two
+classes alone are bounded by splitting their sets first. The number of links within a group of near copies is quadratic in it,
+and so is this last step, as products of bit matrices; nothing is emitted for a pair.
 
 Defined cases: null or wordless texts are in no pair; a null doc_id is in no pair; rows that repeat a doc_id with the same
 grams count once; rows that repeat a doc_id with other grams are other texts of that document; an empty table gives no
@@ -27,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import ngram_hash, ragged, slices, trim, words
+from .arrays import ngram_hash, packed, ragged, slices, trim, unpacked, words
 from .components import components
 from .shared import dropped, key_bitmap, may_hold, only, ready, written
 
 N, THRESHOLD = 2, 0.65
-SKETCH = 1 << 22
+SKETCH = 1 << 24
 CHUNK = 1 << 16
 HASH_BITS = 46
 _MASK = np.uint64((1 << HASH_BITS) - 1)
@@ -92,33 +93,21 @@ def _profile(n: int):
         if counts.any():
             c = counts.reshape(-1, CHUNK)
             k = len(c)
-            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(k), pa.int32()), pa.array([packed(x) for x in c], pa.binary())], ["doc_id", "cls", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(np.arange(k), pa.int32()), pa.array([_halves(x) for x in c], pa.binary())], ["doc_id", "cls", "block", "counts"])
         del counts
         trim()
 
     return run
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    """Arrays of whole numbers of at least 0, or of int64: byte planes, compressed."""
-    out = [np.array([len(columns)], "<u4").tobytes()]
-    for x in columns:
-        x = x.view(np.uint64) if x.dtype == np.int64 else x.astype(np.uint64)
-        data = pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T), codec="zstd", asbytes=True) if len(x) else b""
-        out += [np.array([len(x), len(data)], "<u4").tobytes(), data]
-    return b"".join(out)
-
-
-def unpacked(data) -> list[np.ndarray]:
-    """The arrays, as uint64."""
-    data = memoryview(data)
-    out, at = [], 4
-    for _ in range(int(np.frombuffer(data[:4], "<u4")[0])):
-        n, size = (int(x) for x in np.frombuffer(data[at : at + 8], "<u4"))
-        at += 8
-        out.append(np.ascontiguousarray(np.frombuffer(pa.decompress(data[at : at + size], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n).T).view(np.uint64).ravel() if n else np.zeros(0, np.uint64))
-        at += size
-    return out
+def _halves(counts: np.ndarray) -> bytes:
+    """Counts, 65535 at most (they only order grams), as two planes of bytes."""
+    c = np.minimum(counts, 65535).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return pa.compress(np.ascontiguousarray(c.T), codec="zstd", asbytes=True)
+
+
+def _whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, decompressed_size=2 * CHUNK, codec="zstd"), np.uint8).reshape(2, -1).T).view("<u2").ravel()
 
 
 def _order(profile: DataFrame) -> np.ndarray:
@@ -127,7 +116,7 @@ def _order(profile: DataFrame) -> np.ndarray:
     def add(pdf):
         import pandas as pd
 
-        total = sum(unpacked(x)[0] for x in pdf["counts"])
+        total = sum(_whole(x).astype(np.int64) for x in pdf["counts"])
         return pd.DataFrame({"block": [pdf["block"].iloc[0]], "cls": [np.floor(2 * np.log2(total.astype(float) + 1)).clip(0, 63).astype(np.uint8).tobytes()]})
 
     out = np.zeros(SKETCH, np.uint8)
@@ -137,8 +126,8 @@ def _order(profile: DataFrame) -> np.ndarray:
 
 
 def _prefixes(n: int, t: float, order):
-    """(class, size, prefix, keys): the first size - ceil(t * size) + 1 grams of each set in order, six bytes each; the least
-    mixed hashes of its grams from a fifth to three fifths of the order."""
+    """(class, size, prefix, keys, parity): the first size - ceil(t * size) + 1 grams of each set in order, six bytes each; the least
+    mixed hashes of its grams from a fifth to three fifths of the order; its parity bitmap."""
 
     def run(batches):
         rank = order.value
@@ -153,29 +142,79 @@ def _prefixes(n: int, t: float, order):
                 _, one = np.unique(sh, return_index=True)
                 one = one[size[one] > 0]
                 take = size[one] - np.ceil(t * size[one] - 1e-9).astype(np.int64) + 1
-                keys = []
+                keys, bits = [], []
                 for k in one:
                     m = mixed[first[k] + size[k] // 5 : first[k] + max(3 * size[k] // 5, 1)]
                     keys.append(np.sort(np.partition(m, KEYS)[:KEYS] if len(m) > KEYS else m).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(sh[one]), pa.array(size[one], pa.int32()), pa.array([six[first[k] : first[k] + m].tobytes() for k, m in zip(one, take)], pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["cls", "size", "prefix", "keys"])
+                    bits.append(parity(mixed[first[k] : first[k] + size[k]]))
+                yield pa.RecordBatch.from_arrays([pa.array(sh[one]), pa.array(size[one], pa.int32()), pa.array([six[first[k] : first[k] + m].tobytes() for k, m in zip(one, take)], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())], ["cls", "size", "prefix", "keys", "parity"])
 
     return run
 
 
-def _groups(rows: DataFrame) -> DataFrame:
-    """(id, root): classes that share at least half of their keys with the least class of those keys' buckets."""
-    at = rows.select("cls", F.explode("keys").alias("key"), F.size("keys").alias("n")).distinct()
-    low = at.groupBy("key").agg(F.min("cls").alias("low"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    near = at.join(low, "key").filter("cls <> low").groupBy("cls", "low").agg(F.count("*").alias("k"), F.first("n").alias("n"))
-    return components(near.filter("2 * k >= n and k > 3").select(F.col("cls").alias("a"), F.col("low").alias("b")))
+def parity(mixed: np.ndarray) -> bytes:
+    """Which of 64, 128, 256 or so buckets, no fewer than there are grams, hold an odd number of them."""
+    n = max(64, 1 << (len(mixed) - 1).bit_length())
+    return np.packbits((np.bincount((mixed & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(bool)).tobytes()
+
+
+def most_common(size_a: int, size_b: int, x: bytes, y: bytes) -> int:
+    """An upper bound of the overlap of two sets from their parity bitmaps; the longer is folded to the shorter."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return (size_a + size_b - int(np.bitwise_count(x ^ y).sum())) // 2
+
+
+def _may_reach(t: float):
+    def run(batches):
+        for b in batches:
+            size = [np.asarray(b.column(k)).astype(np.int64) for k in (2, 3)]
+            need = _overlap(t, *size)
+            ok = [min(n, m) >= k and most_common(n, m, x, y) >= k for n, m, k, x, y in zip(size[0].tolist(), size[1].tolist(), need.tolist(), b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def _bounded(pairs: DataFrame, rows: DataFrame, t: float) -> DataFrame:
+    """Pairs of rows (a, b) as pairs of classes, without those whose sets can't reach the overlap."""
+    x, y = (rows.select(F.col("row").alias(k), F.col("cls").alias(f"cls_{k}"), F.col("size").alias(f"size_{k}"), F.col("parity").alias(f"parity_{k}")) for k in "ab")
+    both = pairs.join(x, "a").join(y, "b").select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b"), "size_a", "size_b", "parity_a", "parity_b")
+    return both.mapInArrow(_may_reach(t), "a bigint, b bigint")
+
+
+def _keyed(batches):
+    """(row, low): each row of a key with the key's least row; the input is partitioned by key."""
+    read = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches]
+    if read:
+        key, row = (np.concatenate(x) for x in zip(*read))
+        del read
+        o = np.lexsort((row, key))
+        key, row = key[o], row[o]
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True][: len(key) + 1])
+        low = np.repeat(row[cut[:-1]], np.diff(cut))
+        more = row != low
+        yield pa.RecordBatch.from_arrays([pa.array(row[more]), pa.array(low[more])], ["row", "low"])
+    trim()
+
+
+def _groups(rows: DataFrame, parts: int, t: float) -> DataFrame:
+    """(id, root): classes that share at least half of their keys with the least rows of those keys, and may be similar to them."""
+    at = rows.select(F.explode("keys").alias("key"), "row").repartition(parts, "key").mapInArrow(_keyed, "row bigint, low bigint")
+    near = at.groupBy("row", "low").agg(F.count("*").alias("k")).filter("k > 3").join(rows.select("row", F.size("keys").alias("n")), "row").filter("2 * k >= n")
+    return components(_bounded(near.select(F.col("row").alias("a"), F.col("low").alias("b")), rows, t))
 
 
 def _spread(parts: int):
-    """Packs prefix grams by part (the gram modulo parts): rows in order of gram, with their document, position; and the documents."""
+    """Packs prefix grams by part (the gram modulo parts): grams in order, with their set and position; and the sets, as row, size
+    and root (0: none)."""
 
     def flush(held):
-        sizes = np.array([s for _, s, _, _ in held], np.int64)
-        cls, root = (np.array([x[k] for x in held], np.int64) for k in (0, 2))
+        held.sort(key=lambda x: x[0])
+        row, sizes, root = (np.array([x[k] for x in held], np.int64) for k in range(3))
         count = np.array([len(p) // 6 for *_, p in held], np.int64)
         raw = np.zeros((int(count.sum()), 8), np.uint8)
         raw[:, :6] = np.frombuffer(b"".join(p for *_, p in held), np.uint8).reshape(-1, 6)
@@ -189,14 +228,14 @@ def _spread(parts: int):
         blobs = []
         for a, z in zip(cut[:-1], cut[1:]):
             docs, at = np.unique(doc[a:z], return_inverse=True)
-            blobs.append(packed(np.diff(rest[a:z], prepend=np.uint64(0)), at, pos[a:z], cls[docs], sizes[docs], root[docs]))
+            blobs.append(packed(np.diff(rest[a:z], prepend=np.uint64(0)), at, pos[a:z], np.diff(row[docs], prepend=0), sizes[docs], root[docs]))
         return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]], pa.int32()), pa.array(blobs, pa.binary())], ["part", "rows"])
 
     def run(batches):
         held, n = [], 0
         for b in batches:
-            for cls, size, root, p in zip(*[b.column(k).to_pylist() for k in range(4)]):
-                held.append((cls, size, root, p))
+            for row, size, root, p in zip(*[b.column(k).to_pylist() for k in range(4)]):
+                held.append((row, size, root, p))
                 n += len(p) // 6
                 if n >= PACKED:
                     yield flush(held)
@@ -218,10 +257,12 @@ def _counted(a, b, s, n):
 
 
 def _pairs(t: float, blobs):
-    """(a, b, sizes, shared prefix grams) of classes of different groups that pass the length filter and the positional filter."""
+    """(a, b, sizes, shared prefix grams) of rows of different groups that pass the length filter and the positional filter."""
     read = [unpacked(x) for x in blobs]
     g = np.concatenate([np.cumsum(x[0]) for x in read])
-    c, size, root = (np.concatenate([x[k][x[1].astype(np.int64)] for x in read]).view(np.int64) for k in (3, 4, 5))
+    c, size, root = (np.concatenate([(np.cumsum(x[k]) if k == 3 else x[k])[x[1].astype(np.int64)] for x in read]).view(np.int64) for k in (3, 4, 5))
+    # a row without a group is one of its own: rows are numbered from 0
+    root = np.where(root == 0, ~c, root)
     pos = np.concatenate([x[2] for x in read]).view(np.int64)
     del read
     o = np.lexsort((c, root, g))
@@ -387,13 +428,15 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     order = spark.sparkContext.broadcast(_order(profile))
     members = written(profile.filter("block is null").groupBy("doc_id", "cls").agg(F.count("*").alias("rows")), "members")
     dropped(profile)
-    rows = written(docs.select("text").mapInArrow(_prefixes(n, threshold, order), "cls bigint, size int, prefix binary, keys array<bigint>"), "prefixes")
-    sizes = rows.select("cls", "size").distinct()
-    groups = written(_groups(rows), "groups")
-    found = rows.join(groups, rows["cls"] == groups["id"], "left").select("cls", "size", F.coalesce("root", "cls").alias("root"), "prefix")
-    found = found.mapInArrow(_spread(4 * parts), "part int, rows binary").repartition(parts, "part").mapInArrow(_candidates(threshold), "a bigint, b bigint, sizes bigint, n bigint")
-    found = written(_prefix_sums(found, threshold), "candidates")
+    rows = docs.select("text").mapInArrow(_prefixes(n, threshold, order), "cls bigint, size int, prefix binary, keys array<bigint>, parity binary")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    groups = written(_groups(rows, parts, threshold), "groups")
+    once = rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("row", "size", "prefix")])
+    found = once.join(groups, once["cls"] == groups["id"], "left").select("row", "size", F.coalesce("root", F.lit(0)).alias("root"), "prefix")
+    found = found.mapInArrow(_spread(2 * parts), "part int, rows binary").repartition(parts, "part").mapInArrow(_candidates(threshold), "a bigint, b bigint, sizes bigint, n bigint")
+    found = written(_bounded(_prefix_sums(found, threshold), rows, threshold), "candidates")
     united = written(components(found.unionByName(groups.select(F.col("id").alias("a"), F.col("root").alias("b")))), "united")
+    sizes = rows.select("cls", "size").distinct()
     # blocks of the united classes, by the classes' hashes
     whole = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
     at = united.join(sizes, united["id"] == sizes["cls"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -48,7 +49,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Deletes tables of written() that nothing reads any more."""
+    """Deletes tables of written() that nothing reads any more, and the shuffle files of finished steps."""
+    delete(*tables)
+    released(tables[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Spark deletes shuffle files once the JVM has found that nothing refers to them: let it look now, not in half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def delete(*tables: DataFrame) -> None:
     for df in tables:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -108,7 +108,7 @@ def test_ngram_join_finds_one_head_whatever_the_bitmap_lets_through(spark, monke
 def test_packed_columns_come_back():
     r = np.random.default_rng(5)
     cols = [r.integers(0, 2**63, 100, np.uint64), np.zeros(0, np.uint64), np.arange(7, dtype=np.int64), np.array([-5, 3], np.int64)]
-    back = ngram_join.unpacked(ngram_join.packed(*cols))
+    back = arrays.unpacked(arrays.packed(*cols))
     assert all((b.view(c.dtype) == c).all() and len(b) == len(c) for b, c in zip(back, cols))
 
 
@@ -119,6 +119,15 @@ def test_suffix_bound_is_a_bound():
         assert ngram_join.suffix_bound(x, y) >= len(np.intersect1d(x, y))
 
 
+def test_parity_bitmaps_bound_the_overlap():
+    r = np.random.default_rng(2)
+    for n, m in ((5, 5), (60, 300), (900, 1000), (64, 65), (1, 4000)) * 20:
+        x, y = (np.unique(r.integers(0, 2000, k)).astype(np.uint64) for k in (n, m))
+        a, b = (ngram_join.parity(ngram_join._mixed(z)) for z in (x, y))
+        assert min(len(x), len(y)) >= 0 and ngram_join.most_common(len(x), len(y), a, b) >= len(np.intersect1d(x, y))
+        assert ngram_join.most_common(len(x), len(x), a, a) == len(x)
+
+
 def test_components_equal_union_find(spark):
     r = random.Random(1)
     edges = [(r.randint(0, 80), r.randint(0, 80)) for _ in range(50)] + [(i, i + 1) for i in range(200, 230)] + [(5, 5)]
