@@ -25,7 +25,7 @@ PROBES = (
     "Emily met Sarah. Emily met Dr. Smith and Dr. Jones and Dr. Brown. lol idk tbh this is fr real.",
     "The best plan, the worst plan and the greatest plan by 12 percent. Fast, cheap, and simple things. Quick, dirty, or clean work. See the test harness.",
     "It's not just a tool, it's a way. Not only fast but also cheap. The data tells us. The decision emerges. That's it. That's the trade.",
-    "<!-- human-voice: ignore filler -->\nWe delve and leverage here.\nWe leverage there. <!-- human-voice: ignore -->\nWe delve.\n<!-- human-voice: ignore-start jargon -->\nsynergy inside\n<!-- human-voice: ignore-end -->\nsynergy outside",
+    "<!-- prose-check: ignore filler -->\nWe delve and leverage here.\nWe leverage there. <!-- prose-check: ignore -->\nWe delve.\n<!-- prose-check: ignore-start jargon -->\nsynergy inside\n<!-- prose-check: ignore-end -->\nsynergy outside",
     "The key is: time. The answer is: money. The point here is: both. It was written and was made and is seen quickly.",
     "As an ai language model, I hope this helps. We may potentially see past history and \"added bonus\" items.\n> the final outcome of it",
 )

@@ -112,6 +112,8 @@ THRESHOLDS = {
     "list_item_cov_floor": 0.22, "paragraph_cov_floor": 0.3, "ttr_floor": 0.38, "burstiness_cov_floor": 0.4, "uniform_opener_ratio": 0.3, "wh_opener_ratio": 0.3, "wh_opener_run": 3,
     "bold_bullet_ratio": 0.5, "section_rule_max": 2, "ngram_min_count": 4, "ngram_sizes": (2, 3),
 }
+#: What a comment in a text begins with that exempts lines: <!-- prose-check: ignore filler -->. A project sets its own.
+MARKER = "prose-check"
 FIXABLE = ("filler", "soft_filler", "jargon", "redundancy")
 
 
@@ -135,6 +137,7 @@ class Rules:
     bands: tuple = BANDS
     mutes: dict = field(default_factory=lambda: {r: frozenset(v.split()) for r, v in MUTES.items()})
     protected: tuple = EXCEPTIONS
+    marker: str = MARKER
 
     def overridden(self, settings: dict) -> Rules:
         """Thresholds and weights merge by key (unknown categories are ignored), bands are replaced, protected terms are added."""
@@ -143,7 +146,9 @@ class Rules:
         b = settings.get("score_bands")
         bands = tuple(sorted(((k, float(v)) for k, v in b.items()), key=lambda x: x[1])) if isinstance(b, dict) and b else self.bands
         more = tuple(p for p in [*settings.get("protected_terms", []), *settings.get("context_exceptions", [])] if isinstance(p, str) and p.strip())
-        return replace(self, thresholds=self.thresholds | th, weights=self.weights | w, bands=bands, protected=self.protected + more)
+        marker = settings.get("directive_marker")
+        marker = marker.strip() if isinstance(marker, str) and marker.strip() else self.marker
+        return replace(self, marker=marker, thresholds=self.thresholds | th, weights=self.weights | w, bands=bands, protected=self.protected + more)
 
 
 def phrase_list(value) -> list[tuple[str, str | None]]:

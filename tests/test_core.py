@@ -37,7 +37,7 @@ def test_spans_count_code_points(spark):
 
 
 def test_hostile_texts_are_survived(spark):
-    texts = [None, "", " ", "\x00\x01", "a" * 100_000, "-" * 5_000, "*" * 5_000, "\n" * 1000, "é" * 50, "﻿hi", "a\r\nb\rc", "```", "![](", "<!-- human-voice: ignore", "| | |\n" * 50, "日本語。テスト", "?!?!?!", "— — —"]
+    texts = [None, "", " ", "\x00\x01", "a" * 100_000, "-" * 5_000, "*" * 5_000, "\n" * 1000, "é" * 50, "﻿hi", "a\r\nb\rc", "```", "![](", "<!-- prose-check: ignore", "| | |\n" * 50, "日本語。テスト", "?!?!?!", "— — —"]
     out = A.analyze(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").repartition(8)).collect()
     assert len(out) == len(texts)
     by = {r["doc_id"]: r for r in out}
@@ -45,7 +45,7 @@ def test_hostile_texts_are_survived(spark):
 
 
 def test_analysis_mutes_directives_and_protected_terms(spark):
-    rows = [(0, "We delve here.", "technical"), (1, "We delve here. <!-- human-voice: ignore filler -->", "technical"), (2, "A test harness works.", "technical"), (3, "<!-- human-voice: ignore -->\nWe delve.\nWe delve.", "technical"), (4, "It may potentially work.", "academic"), (5, "It may potentially work.", "technical"), (6, "Colour and behaviour here.", "technical")]
+    rows = [(0, "We delve here.", "technical"), (1, "We delve here. <!-- prose-check: ignore filler -->", "technical"), (2, "A test harness works.", "technical"), (3, "<!-- prose-check: ignore -->\nWe delve.\nWe delve.", "technical"), (4, "It may potentially work.", "academic"), (5, "It may potentially work.", "technical"), (6, "Colour and behaviour here.", "technical")]
     df = spark.createDataFrame(rows, "doc_id int, text string, register string").withColumn("dialect", F.lit("american"))
     by = {r["doc_id"]: [(h["category"], h["line"], h["col"]) for h in r["hits"]] for r in A.analyze(df).collect()}
     assert by[0] == [("filler", 1, 4)] and by[1] == [] and by[2] == [] and by[3] == [("filler", 3, 4)]
