@@ -16,13 +16,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import only, ready
+from .shared import only, ready, written
 
 _MARK = re.compile(r"[ \t]*>(?:[ \t]*>)*[ \t]?")
 _ATTRIBUTION = re.compile(r"(?:on\b.{0,200}\bwrote|.{0,80}\b(?:wrote|writes|said)):\s*", re.I | re.S)
@@ -89,19 +88,26 @@ def _clean(batches):
 
 
 def _messages(conversations: DataFrame) -> DataFrame:
+    """Each message once, with its place by time; a table, since it is read three times."""
     ready(conversations.sparkSession)
     m = only(conversations, "conv_id", "turn", "role", "text").filter("conv_id is not null and turn is not null")
-    m = m.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    return m.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")))
+    m = m.select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # spread by conversation first: what follows needs no other shuffle
+    m = m.repartition("conv_id").distinct()
+    return written(m.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))), "messages")
 
 
 def _links(m: DataFrame) -> DataFrame:
+    """The best origin of each passage. A unit's latest origin of each kind is a running maximum over the messages that hold it, so a
+    line that stands in every message costs its occurrences, not their pairs."""
     u = m.select("conv_id", "pos", "text").mapInArrow(_units, "conv_id bigint, pos int, passage int, depth int, hash bigint, kind int")
-    quoted = u.filter("depth > 0").alias("q")
-    own = u.filter("depth = 0").alias("o")
-    both = quoted.join(own, (F.col("q.conv_id") == F.col("o.conv_id")) & (F.col("q.hash") == F.col("o.hash")) & (F.col("o.pos") < F.col("q.pos")))
-    best = F.struct(F.col("q.kind").alias("kind"), F.col("o.kind").alias("own"), F.col("o.pos").alias("origin"))
-    return both.groupBy("q.conv_id", "q.pos", "q.passage", "q.depth").agg(F.max(best).alias("best")).select("conv_id", "pos", "passage", "depth", "best.kind", "best.origin")
+    before = Window.partitionBy("conv_id", "hash").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    for kind in (3, 2, 1):
+        u = u.withColumn(f"own{kind}", F.max(F.when((F.col("depth") == 0) & (F.col("kind") == kind), F.col("pos"))).over(before))
+    own = F.coalesce(*[F.when(F.col(f"own{k}").isNotNull(), F.struct(F.lit(k).alias("own"), F.col(f"own{k}").alias("origin"))) for k in (3, 2, 1)])
+    both = u.filter("depth > 0").withColumn("o", own).filter("o is not null")
+    best = F.struct("kind", F.col("o.own").alias("own"), F.col("o.origin").alias("origin"))
+    return both.groupBy("conv_id", "pos", "passage", "depth").agg(F.max(best).alias("best")).select("conv_id", "pos", "passage", "depth", "best.kind", "best.origin")
 
 
 def links(conversations: DataFrame) -> DataFrame:
@@ -113,33 +119,67 @@ def links(conversations: DataFrame) -> DataFrame:
     return x.select("conv_id", "turn", "passage", "depth", "kind", "origin_turn")
 
 
-def _reply_order(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("pos")
-    parent = {p: int(q) for p, q in zip(pdf["pos"], pdf["parent"])}
+def _reply_order(parent: list[int]) -> tuple[list[int], list[int]]:
+    """Place and depth of messages 1, 2 and so on, in a walk that has each message before its replies; parent 0: none."""
     replies: dict[int, list[int]] = {}
-    for p, q in parent.items():
+    for p, q in enumerate(parent, 1):
         replies.setdefault(q, []).append(p)
-    depth, order, todo = {0: -1}, {}, [0]
+    depth, place, todo, n = [-1] * (len(parent) + 1), [0] * len(parent), [0], 0
     while todo:
         p = todo.pop()
         if p:
-            order[p] = len(order)
-            depth[p] = depth[parent[p]] + 1
-        todo.extend(reversed(replies.get(p, [])))
-    return pd.DataFrame({"conv_id": pdf["conv_id"], "pos": pdf["pos"], "place": [order[p] for p in pdf["pos"]], "depth": [depth[p] for p in pdf["pos"]]}).astype({"place": "int32", "depth": "int32"})
+            place[p - 1], n = n, n + 1
+            depth[p] = depth[parent[p - 1]] + 1
+        todo.extend(reversed(replies.get(p, ())))
+    return place, depth[1:]
+
+
+def _ordered(batches):
+    """(conv_id, at): the messages' pos, place, depth, parent and quoted in order of place. The input is whole conversations as
+    numbers, by conversation and pos."""
+    last, held = None, ([], [])
+
+    def made():
+        place, depth = _reply_order(held[0])
+        at = [None] * len(place)
+        for n, (p, d, q, k) in enumerate(zip(place, depth, *held), 1):
+            at[p] = {"pos": n, "depth": d, "parent": q, "quoted": k}
+        return at
+
+    for b in batches:
+        ids, out = [], []
+        for c, parent, quoted in zip(*[b.column(k).to_pylist() for k in (0, 2, 3)]):
+            if c != last:
+                if held[0]:
+                    ids.append(last)
+                    out.append(made())
+                last, held = c, ([], [])
+            held[0].append(parent)
+            held[1].append(quoted)
+        if ids:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, _AT)], ["conv_id", "at"])
+    if held[0]:
+        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([made()], _AT)], ["conv_id", "at"])
+
+
+_AT = pa.list_(pa.struct([("pos", pa.int32()), ("depth", pa.int32()), ("parent", pa.int32()), ("quoted", pa.int32())]))
 
 
 def linked_conversations(conversations: DataFrame) -> DataFrame:
-    """(conv_id, n_links, messages): messages in reply order as (turn, role, text, reply_to, depth, quoted)."""
+    """(conv_id, n_links, messages): messages in reply order as (turn, role, text, reply_to, depth, quoted). A conversation is one
+    row, so it has to fit one; what is done by conversation before that is done on numbers."""
     m = _messages(conversations)
     found = _links(m)
     chosen = F.max(F.when(F.col("depth") == 1, F.struct("kind", (-F.col("passage")).alias("n"), "origin"))).alias("best")
-    best = found.groupBy("conv_id", "pos").agg(chosen, F.count("*").alias("quoted"))
-    m = m.join(best, ["conv_id", "pos"], "left").withColumn("parent", F.coalesce("best.origin", F.col("pos") - 1)).withColumn("quoted", F.coalesce("quoted", F.lit(0)).cast("int"))
-    order = m.select("conv_id", "pos", "parent").groupBy("conv_id").applyInPandas(_reply_order, "conv_id bigint, pos int, place int, depth int")
-    text = m.select("conv_id", "pos", "role", "text", "turn", "parent", "quoted").mapInArrow(_clean, "conv_id bigint, pos int, role string, text string, turn bigint, parent int, quoted int")
-    turns = m.select("conv_id", F.col("pos").alias("parent"), F.col("turn").alias("reply_to"))
-    x = text.join(order, ["conv_id", "pos"]).join(turns, ["conv_id", "parent"], "left")
-    message = F.struct("place", "turn", "role", "text", "reply_to", "depth", "quoted")
-    x = x.groupBy("conv_id").agg(F.sum("quoted").alias("n_links"), F.array_sort(F.collect_list(message)).alias("all"))
-    return x.select("conv_id", "n_links", F.transform("all", lambda s: s.dropFields("place")).alias("messages"))
+    best = found.groupBy("conv_id", "pos").agg(chosen, F.count("*").cast("int").alias("quoted"))
+    at = m.select("conv_id", "pos").join(best, ["conv_id", "pos"], "left").select("conv_id", "pos", F.coalesce("best.origin", F.col("pos") - 1).alias("parent"), F.coalesce("quoted", F.lit(0)).alias("quoted"))
+    order = at.repartition("conv_id").sortWithinPartitions("conv_id", "pos").mapInArrow(_ordered, "conv_id bigint, at array<struct<pos:int,depth:int,parent:int,quoted:int>>")
+    text = m.select("conv_id", "pos", "role", "text", "turn").mapInArrow(_clean, "conv_id bigint, pos int, role string, text string, turn bigint")
+    said = text.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "turn", "role", "text"))).alias("said"))
+
+    def message(x):
+        own = F.get("said", x["pos"] - 1)
+        return F.struct(own["turn"].alias("turn"), own["role"].alias("role"), own["text"].alias("text"), F.get("said", x["parent"] - 1)["turn"].alias("reply_to"), x["depth"].alias("depth"), x["quoted"].alias("quoted"))
+
+    n = F.aggregate("at", F.lit(0).cast("bigint"), lambda s, x: s + x["quoted"])
+    return said.join(order, "conv_id").select("conv_id", n.alias("n_links"), F.transform("at", message).alias("messages"))

@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -30,9 +31,13 @@ from pyspark.sql import functions as F
 from .shared import only, ready, written
 
 GAMMA, LEAST, MIN_PAGES = 0.9, 0.3, 3
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A whole tag without < and > in its values; the values of others are scanned by hand.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>"']*+(?:(?:"[^"<>]*+"|'[^'<>]*+')[^<>"']*+)*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"""(class|href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_LOW = {k: k + 32 for k in range(65, 91)}
 _RAW = frozenset(("script", "style", "noscript", "template"))
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 _BLOCK = frozenset("p div section article aside header footer nav main h1 h2 h3 h4 h5 h6 ul ol li table tr td th pre blockquote form title figure dl dt dd body html br hr".split())
@@ -47,49 +52,98 @@ class Node:
         self.tag, self.sig, self.text, self.kids = tag, sig, text, []
 
 
+def tags(source: str):
+    """(start, end, close mark, name, attributes) of the tags, and of comments and declarations with no name. A quoted value may hold
+    < and >; a value that isn't closed ends at the next >. Every character is looked at a bounded number of times: once no quoted
+    value can be closed, quotes mean nothing."""
+    at, size, quotes = 0, len(source), True
+    while (start := source.find("<", at)) >= 0:
+        if source.startswith("<!", start):
+            comment = source.startswith("<!--", start)
+            end = source.find("-->" if comment else ">", start + 2)
+            if end < 0 and not comment:
+                return
+            at = size if end < 0 else end + (3 if comment else 1)
+            yield start, at, "", "", ""
+            continue
+        m = _TAG.match(source, start)
+        if m:
+            at = m.end()
+            yield start, at, m[1], m[2], m[3]
+            continue
+        m = _NAME.match(source, start)
+        if not m:
+            at = start + 1
+            continue
+        here, end = m.end(), -1
+        while quotes and (x := _STOP.search(source, here)):
+            if x[0] == ">":
+                end = x.start()
+                break
+            here = source.find(x[0], x.end()) + 1
+            if not here:
+                end = source.find(">", x.end())
+                break
+        if end < 0:
+            quotes = False
+            end = source.find(">", m.end())
+        if end < 0:
+            return
+        at = end + 1
+        yield start, at, m[1], m[2], source[m.end() : end]
+
+
 def parse(source: str) -> Node:
     """The page's tree; leaves are #text, #link and #image."""
     root = Node("#page", "#page")
     stack, at, size = [root], 0, len(source)
+    opened: Counter[str] = Counter()
     low = None
-    while at < size:
-        m = _TAG.search(source, at)
-        text = source[at : m.start()] if m else source[at:]
+
+    def said(to):
+        text = source[at:to]
         if text and not text.isspace():
             stack[-1].kids.append(Node("#text", "#text", " ".join(entities.unescape(text).split())))
-        if not m:
-            break
-        at = m.end()
-        if not m[2]:
+
+    for start, end, closing, name, rest in tags(source):
+        if start < at:  # within a script or the like
+            continue
+        said(start)
+        at = end
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            for n in range(len(stack) - 1, 0, -1):
-                if stack[n].tag == tag:
-                    del stack[n:]
+        tag = name.lower()
+        if closing:
+            while opened[tag]:
+                top = stack.pop().tag
+                opened[top] -= 1
+                if top == tag:
                     break
             continue
         if tag in _RAW:
-            low = low or source.lower()
-            end = low.find("</" + tag, at)
-            at = size if end < 0 else source.find(">", end) + 1 or size
+            low = low if low is not None else source.lower()
+            low = low if len(low) == size else source.translate(_LOW)
+            to = low.find("</" + tag, at)
+            at = size if to < 0 else source.find(">", to) + 1 or size
             continue
         close = _CLOSES.get(tag)
         if close and stack[-1].tag in close:
-            stack.pop()
+            opened[stack.pop().tag] -= 1
             if tag == "tr" and stack[-1].tag == "tr":
-                stack.pop()
+                opened[stack.pop().tag] -= 1
         elif tag in _ENDS_P and stack[-1].tag == "p" and len(stack) > 1:
-            stack.pop()
-        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(m[3])} if m[3] else {}
+            opened[stack.pop().tag] -= 1
+        attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(rest)} if rest else {}
         node = Node(tag, tag + "." + ".".join(sorted(attrs["class"].split())) if attrs.get("class") else tag)
         stack[-1].kids.append(node)
         if tag == "a" and attrs.get("href"):
             node.kids.append(Node("#link", "#link", attrs["href"]))
         elif tag == "img" and attrs.get("src"):
             node.kids.append(Node("#image", "#image", attrs["src"]))
-        if tag not in _VOID and not m[3].endswith("/"):
+        if tag not in _VOID and not rest.endswith("/"):
             stack.append(node)
+            opened[tag] += 1
+    said(size)
     return root
 
 

@@ -439,7 +439,7 @@ def test_quotes_are_linked(spark):
     rows = [(1, 0, "user", "First question here.\n\nSecond paragraph."), (1, 1, "assistant", "Another topic."), (1, 2, "user", "On Monday, A wrote:\n> first   QUESTION here.\nMy answer."), (1, 3, "assistant", "> > First question here.\n> My answer.\nDeep."), (1, 2, "user", "On Monday, A wrote:\n> first   QUESTION here.\nMy answer."), (2, 0, None, None), (None, 0, "user", "x"), (3, 0, "user", "> only quote")]
     d = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").withColumn("hash", F.lit(1))
     links = {(r["turn"], r["depth"], r["origin_turn"], r["kind"]) for r in quotes.links(d).collect()}
-    assert links == {(2, 1, 0, 3), (3, 2, 0, 3), (3, 1, 2, 3)} or links == {(2, 1, 0, 3), (3, 2, 0, 2), (3, 1, 2, 3)} or links == {(2, 1, 0, 2), (3, 2, 0, 2), (3, 1, 2, 3)}
+    assert links == {(2, 1, 0, 3), (3, 2, 0, 3), (3, 1, 2, 3)}
     out = {r["conv_id"]: r for r in quotes.linked_conversations(d).collect()}
     assert [(m["turn"], m["reply_to"], m["text"]) for m in out[1]["messages"]] == [(0, None, "First question here.\n\nSecond paragraph."), (1, 0, "Another topic."), (2, 0, "My answer."), (3, 2, "Deep.")]
     assert out[2]["messages"][0]["role"] == "unknown" and out[3]["messages"][0]["text"] == "" and quotes.linked_conversations(d.limit(0)).count() == 0
