@@ -174,3 +174,13 @@ def unpacked(data) -> list[np.ndarray]:
         out.append(np.ascontiguousarray(np.frombuffer(pa.decompress(data[at : at + size], decompressed_size=8 * n, codec="zstd"), np.uint8).reshape(8, n).T).view(np.uint64).ravel() if n else np.zeros(0, np.uint64))
         at += size
     return out
+
+
+def most_common(size_a: int, size_b: int, x: bytes, y: bytes) -> int:
+    """An upper bound of the overlap of two sets from their parity bitmaps; the longer is folded to the shorter."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return (size_a + size_b - int(np.bitwise_count(x ^ y).sum())) // 2

@@ -3,8 +3,8 @@
 A line (between line feeds) is normalised: lower case, white space as single spaces, trimmed. It is the set of its
 K-character shingles (a line of fewer characters: itself). 60 minima of multiplied shingle hashes, in BANDS bands of ROWS, give candidates: lines
 that agree in a band (0.991 of those with Jaccard 0.8) and in LEAST of the 60 minima by two bits of each (all but 2 in 100,000
-of those with Jaccard 0.8: 51 agree on average, with a deviation of 2.8). Candidates are verified by exact Jaccard of their
-shingle sets, and the verified edges go through distributed union-find; of each component the first line (by doc_id, text
+of those with Jaccard 0.8: 51 agree on average, with a deviation of 2.8). Candidates whose numbers of shingles and parity bitmaps
+allow it are verified by exact Jaccard of their shingle sets, and the verified edges go through distributed union-find; of each component the first line (by doc_id, text
 hash, line number) is kept.
 
 Equal normalised lines are one node (a 64-bit hash) throughout. Every line of a band's bucket is first compared with the
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import codes, packed, ragged, slices, span_hash, trim, unpacked
+from .arrays import codes, most_common, packed, ragged, slices, span_hash, trim, unpacked
 from .components import components
 from .decontaminate import gram_hash
 from .shared import dropped, key_bitmap, may_hold, only, ready, released, written
@@ -278,7 +278,28 @@ def _pairs(star: bool):
     return run
 
 
+def parities(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, list[bytes]]:
+    """Number of distinct hashes of each row, and in which of 64, 128, 256 or so buckets, no fewer than that, an odd number falls."""
+    key = np.unique(row.astype(np.uint64) << np.uint64(32) | h)
+    row, h = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    size = np.bincount(row, minlength=rows)
+    log = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64)
+    out: list[bytes] = [b""] * rows
+    for k in np.unique(log):
+        some = np.flatnonzero(log == k)
+        at = np.full(rows, -1)
+        at[some] = np.arange(len(some))
+        own = at[row] >= 0
+        odd = np.bincount((at[row[own]] << k) | (h[own] & ((1 << k) - 1)), minlength=len(some) << k) & 1
+        packed_rows = np.packbits(odd.astype(bool).reshape(len(some), -1), axis=1)
+        for i, x in zip(some, packed_rows):
+            out[i] = x.tobytes()
+    return size, out
+
+
 def _texts(wanted):
+    """(h, line, size, parity) of the lines that the bitmap may hold; of their shingles' 32-bit hashes."""
+
     def run(batches):
         for batch in batches:
             for part in slices(batch, 0):
@@ -286,7 +307,22 @@ def _texts(wanted):
                 h, one = np.unique(span_hash(c, s, e).view(np.int64), return_index=True)
                 ok = may_hold(wanted.value, h)
                 h, one = h[ok], one[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([c[s[i] : e[i]].tobytes().decode("utf-32-le") for i in one], pa.string())], ["h", "line"])
+                n = np.maximum(e[one] - s[one] - K + 1, 0)
+                size, bits = parities(shingle_hash(c)[ragged(s[one], n)], np.repeat(np.arange(len(one)), n), len(one))
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([c[s[i] : e[i]].tobytes().decode("utf-32-le") for i in one], pa.string()), pa.array(size, pa.int32()), pa.array(bits, pa.binary())], ["h", "line", "size", "parity"])
+
+    return run
+
+
+def _may_be_similar(t: float):
+    """Pairs whose parity bitmaps allow the overlap; hashes of n shingles may fall together a few times, more so in long lines."""
+
+    def run(batches):
+        for b in batches:
+            n, m = (np.asarray(b.column(k)).astype(np.int64) for k in (2, 3))
+            need = np.ceil(t / (1 + t) * (n + m) - 1e-9) - 2 - np.maximum(n, m).astype(float) ** 2 / 2**31
+            ok = [most_common(i, j, x, y) >= k for i, j, k, x, y in zip(n.tolist(), m.tolist(), need.tolist(), b.column(4).to_pylist(), b.column(5).to_pylist())]
+            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()) if ok else pa.array([], pa.bool_()))
 
     return run
 
@@ -322,8 +358,16 @@ def _verify(t: float):
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
-    x = pairs.join(texts.select(F.col("h").alias("b"), F.col("line").alias("y")), "b").join(texts.select(F.col("h").alias("a"), F.col("line").alias("x")), "a")
-    return x.select("a", "b", "x", "y").mapInArrow(_verify(t), "a bigint, b bigint")
+    """The similar pairs: those that the bitmaps leave are verified on their texts."""
+
+    def with_both(pairs, *columns):
+        for k in "ba":
+            pairs = pairs.join(texts.select(F.col("h").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]), k)
+        return pairs.select("a", "b", *[f"{c}_{k}" for c in columns for k in "ab"])
+
+    pairs = with_both(pairs, "size", "parity").withColumn("least", F.least("size_a", "size_b")).filter(F.col("least") + 2 + F.pow("least", F.lit(2)) / 2**31 >= t * F.greatest("size_a", "size_b")).drop("least")
+    pairs = pairs.mapInArrow(_may_be_similar(t), "a bigint, b bigint")
+    return with_both(pairs, "line").mapInArrow(_verify(t), "a bigint, b bigint")
 
 
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -338,8 +382,8 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dropped(rows)
     nodes = written(at.select("h").distinct(), "lines")
     bitmap = key_bitmap(nodes, nodes.count())
-    texts = text.mapInArrow(_texts(bitmap), "h bigint, line string").join(nodes, "h", "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    texts = written(texts, "texts")
+    texts = text.mapInArrow(_texts(bitmap), "h bigint, line string, size int, parity binary").join(nodes, "h", "left_semi")
+    texts = written(texts.groupBy("h").agg(*[F.first(c).alias(c) for c in ("line", "size", "parity")]), "texts")
     dropped(nodes)
 
     def pairs(rows, star):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import ngram_hash, packed, ragged, slices, trim, unpacked, words
+from .arrays import most_common, ngram_hash, packed, ragged, slices, trim, unpacked, words
 from .components import components
 from .shared import dropped, key_bitmap, may_hold, only, ready, written
 
@@ -158,16 +158,6 @@ def parity(mixed: np.ndarray) -> bytes:
     return np.packbits((np.bincount((mixed & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1).astype(bool)).tobytes()
 
 
-def most_common(size_a: int, size_b: int, x: bytes, y: bytes) -> int:
-    """An upper bound of the overlap of two sets from their parity bitmaps; the longer is folded to the shorter."""
-    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(x) != len(y):
-        if len(x) < len(y):
-            x, y = y, x
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return (size_a + size_b - int(np.bitwise_count(x ^ y).sum())) // 2
-
-
 def _may_reach(t: float):
     def run(batches):
         for b in batches:

@@ -124,8 +124,8 @@ def test_parity_bitmaps_bound_the_overlap():
     for n, m in ((5, 5), (60, 300), (900, 1000), (64, 65), (1, 4000)) * 20:
         x, y = (np.unique(r.integers(0, 2000, k)).astype(np.uint64) for k in (n, m))
         a, b = (ngram_join.parity(ngram_join._mixed(z)) for z in (x, y))
-        assert min(len(x), len(y)) >= 0 and ngram_join.most_common(len(x), len(y), a, b) >= len(np.intersect1d(x, y))
-        assert ngram_join.most_common(len(x), len(x), a, a) == len(x)
+        assert min(len(x), len(y)) >= 0 and arrays.most_common(len(x), len(y), a, b) >= len(np.intersect1d(x, y))
+        assert arrays.most_common(len(x), len(x), a, a) == len(x)
 
 
 def test_components_equal_union_find(spark):
@@ -468,3 +468,28 @@ def test_pipeline_equals_its_stages(spark):
     mixed = {r["doc_id"] for r in mixing.curriculum(d.filter(F.col("doc_id").isin([int(i) for i in one - leaked]))).collect()}
     assert {r["doc_id"] for r in out} == mixed
     assert [n for n, _ in P.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
+
+
+def test_lines_near_the_threshold_in_large_groups(spark):
+    """Groups of edited copies, some on either side of the threshold: one line of each component stays."""
+    r = random.Random(12)
+    rows = []
+    for k in range(4):
+        base = list(words(30, 700 + k))
+        for i in range(30):
+            x = list(base)
+            for _ in range(r.choice((0, 1, 2, 3, 6))):
+                x[r.randrange(len(x))] = r.choice("qrstuvwxyz")
+            rows.append("".join(x))
+    rows += ["日本語の行です、同じ文字が続きます。" * 2, "日本語の行です、同じ文字が続きます。" * 2 + "終", "ab", "abc", "ab  ", "a" * 50, "a" * 60]
+    r.shuffle(rows)
+    sets = [line_dedup.shingles(" ".join(x.lower().split())) for x in rows]
+    root = list(range(len(rows)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    out = {x["doc_id"]: x["text"] for x in line_dedup.dedup_lines(docs(spark, list(enumerate(rows))).repartition(3)).collect()}
+    assert [out[i] for i in range(len(rows))] == [x if find(i) == i else "" for i, x in enumerate(rows)]
