@@ -9,8 +9,9 @@ diagonals that lie within k of each other. So the q-grams that the whole item sh
 Benchmarks of up to SLICE_CHARS characters are sent to the executors as one index; larger ones in several such slices, with
 one pass over the documents for each.
 
-Defined cases: null texts and items match nothing; items of fewer than MIN_CHARS normalised characters aren't searched, as
-they occur in clean texts too; rows with a null doc_id or item_id are ignored; repeated rows are reported once; empty tables
+Defined cases: null texts and items match nothing; items of fewer than MIN_CHARS normalised characters, whose edit budget would
+match clean texts, are searched as they are, from a word's start to a word's end; items without letters and numbers match
+nothing; rows with a null doc_id or item_id are ignored; repeated rows are reported once; empty tables
 give no rows; other columns are ignored whatever their names.
 """
 
@@ -70,12 +71,15 @@ def gram_hash(c: np.ndarray, q: int) -> np.ndarray:
 
 def build_index(items: list[tuple[int, str]], q: int, rate: float, segment: int, least: int) -> dict:
     """The items and, by q-gram, where it stands in them."""
-    item, texts, total = [], [], {}
+    item, texts, total, short = [], [], {}, {}
     c, off = normalised(pa.array([t for _, t in items], pa.string()))
     for n, (i, _) in enumerate(items):
         x = c[off[n] : off[n + 1]]
         x = x[:-1] if len(x) and x[-1] == 32 else x
         if len(x) < max(least, q):
+            if len(x):
+                short.setdefault(len(x), {}).setdefault(int(gram_hash(x, len(x))[0]), set()).add(i)
+                total[i] = total.get(i, 0) + 1
             continue
         total[i] = total.get(i, 0) + max(1, len(x) - segment + 1)
         item.append(i)
@@ -92,7 +96,7 @@ def build_index(items: list[tuple[int, str]], q: int, rate: float, segment: int,
     size = np.minimum(length, segment)
     k = np.floor(rate * size).astype(np.int64)
     text = np.concatenate([*texts, np.zeros(segment, np.uint32)]).astype(np.uint32)
-    return {"item": np.array(item, np.int64), "length": length, "size": size, "k": k, "need": np.maximum(size - q + 1 - k * q, 1), "text": text, "begin": np.cumsum(length) - length, "keys": keys, "first": np.r_[first, len(gram)], "of": of, "pos": pos, "filt": filt, "total": total, "q": q}
+    return {"item": np.array(item, np.int64), "length": length, "size": size, "k": k, "need": np.maximum(size - q + 1 - k * q, 1), "text": text, "begin": np.cumsum(length) - length, "keys": keys, "first": np.r_[first, len(gram)], "of": of, "pos": pos, "filt": filt, "total": total, "q": q, "short": short}
 
 
 def banded(seg: np.ndarray, size: np.ndarray, k: np.ndarray, text: np.ndarray, start: np.ndarray, lo: np.ndarray, hi: np.ndarray, width: int) -> np.ndarray:
@@ -116,8 +120,34 @@ def banded(seg: np.ndarray, size: np.ndarray, k: np.ndarray, text: np.ndarray, s
 
 def find(col: pa.Array, ix: dict) -> list[tuple[int, int, int, int]]:
     """(row, item, windows found, least edits) for the texts of a column."""
-    q = ix["q"]
     c, off = normalised(col)
+    found = _windows(c, off, ix)
+    if ix["short"]:
+        both = {(r, i): (n, e) for r, i, n, e in found}
+        for r, i in _whole(c, off, ix["short"]):
+            both[r, i] = (both.get((r, i), (0, 0))[0] + 1, 0)
+        found = [(r, i, n, e) for (r, i), (n, e) in both.items()]
+    return found
+
+
+def _whole(c: np.ndarray, off: np.ndarray, short: dict) -> set[tuple[int, int]]:
+    """(row, item) of the short items that stand in a text from a word's start to a word's end."""
+    first = np.flatnonzero((c != 32) & np.r_[True, c[:-1] == 32][: len(c)])
+    first = np.unique(np.r_[first, off[:-1][off[:-1] < len(c)]])
+    row = np.searchsorted(off, first, "right") - 1
+    out = set()
+    for size, items in short.items():
+        to = first + size
+        ok = to <= off[row + 1]
+        ok[ok] &= (to[ok] == off[row[ok] + 1]) | (c[np.minimum(to[ok], len(c) - 1)] == 32)
+        h = gram_hash(c, size)[first[ok]]
+        some = np.isin(h, np.array(list(items), np.uint64))
+        out |= {(r, i) for r, x in zip(row[ok][some].tolist(), h[some].tolist()) for i in items[x]}
+    return out
+
+
+def _windows(c: np.ndarray, off: np.ndarray, ix: dict) -> list[tuple[int, int, int, int]]:
+    q = ix["q"]
     h = gram_hash(c, q)
     hit = np.flatnonzero(ix["filt"][(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
     if not len(hit) or not len(ix["keys"]):
@@ -186,24 +216,47 @@ def _scan(index):
     return run
 
 
+def _clean(index, doc_id: int, text: int):
+    """The rows that hold none of the index's items, and those without a doc_id."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text):
+                bad = np.zeros(part.num_rows, bool)
+                bad[[r for r, *_ in find(part.column(text), index.value)]] = True
+                yield part.filter(pa.array(~bad | np.asarray(part.column(doc_id).is_null())))
+
+    return run
+
+
+def _indexes(spark, benchmark: DataFrame, q: int, rate: float, segment: int, least: int, slice_chars: int) -> list:
+    """Broadcast indexes of the benchmark, of about slice_chars characters each."""
+    items = only(benchmark, "item_id", "text").filter("item_id is not null and text is not null").distinct()
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = -(-chars // slice_chars) or 1
+    out = []
+    for n in range(parts):
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == n).orderBy("item_id", "text").collect()
+        out.append(spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], q, rate, segment, least)))
+    return out
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, segment: int = SEGMENT, least: int = MIN_CHARS, slice_chars: int = SLICE_CHARS) -> DataFrame:
     """(doc_id, item_id, segments, of, edits): documents that hold windows of SEGMENT characters of a benchmark item within
     the edit budget; how many, of how many, and the fewest edits."""
     spark = ready(docs.sparkSession)
     docs = only(docs, "doc_id", "text").filter("doc_id is not null and text is not null")
-    items = only(benchmark, "item_id", "text").filter("item_id is not null and text is not null").distinct()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-chars // slice_chars) or 1
     out = None
-    for n in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == n).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], q, rate, segment, least))
+    for index in _indexes(spark, benchmark, q, rate, segment, least, slice_chars):
         one = docs.mapInArrow(_scan(index), "doc_id bigint, item_id bigint, segments int, of int, edits int")
         out = one if out is None else out.unionByName(one)
     return out.groupBy("doc_id", "item_id").agg(F.max("segments").alias("segments"), F.max("of").alias("of"), F.min("edits").alias("edits"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
-    """docs without the documents that leak; rows with a null doc_id stay."""
-    bad = leaks(docs, benchmark, **params).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, rate: float = RATE, segment: int = SEGMENT, least: int = MIN_CHARS, slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """The rows of docs whose text doesn't leak, and those with a null doc_id; filtered as they are read, so nothing is shuffled. A
+    clean text stays whatever other texts its doc_id stands on."""
+    spark = ready(docs.sparkSession)
+    for index in _indexes(spark, benchmark, q, rate, segment, least, slice_chars):
+        docs = docs.mapInArrow(_clean(index, docs.columns.index("doc_id"), docs.columns.index("text")), docs.schema)
+    return docs

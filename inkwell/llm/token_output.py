@@ -45,7 +45,8 @@ def tokenizer(path: str):
 
 
 def pieces(c: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Where the tokenizer's pattern begins a piece, for texts without apostrophes."""
+    """Where the tokenizer's pattern begins a piece. An apostrophe that is alone, not behind a space and before s, t, m, d, re, ve or
+    ll takes these letters with it; what letters follow are a piece of their own."""
     n = len(c)
     k = classes()[c]
     cut = np.ones(n, bool)
@@ -57,6 +58,16 @@ def pieces(c: np.ndarray, off: np.ndarray) -> np.ndarray:
     after = np.flatnonzero((k[1:] != 0) & (k[:-1] == 0) & inner[1:]) + 1
     cut[after - 1] = True
     cut[after[c[after - 1] == 32]] = False
+    mark = np.flatnonzero(c[:-1] == 39)
+    mark = mark[cut[mark] & inner[mark + 1]]
+    if len(mark):
+        a, b = c[mark + 1], c[np.minimum(mark + 2, n - 1)]
+        pair = (mark + 2 < n) & inner[np.minimum(mark + 2, n - 1)] & (((b == 101) & ((a == 114) | (a == 118))) | ((a == 108) & (b == 108)))
+        size = np.where(np.isin(a, (115, 116, 109, 100)), 1, np.where(pair, 2, 0))
+        mark, size = mark[size > 0], size[size > 0]
+        cut[mark + 1] = False
+        to = mark + 1 + size
+        cut[to[to < n]] = True
     return np.flatnonzero(cut)
 
 
@@ -95,13 +106,6 @@ def encode_all(col: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     out = flat[ragged(begin[code], size[code])]
     row = np.searchsorted(off, start, "right") - 1
     count = np.bincount(row, weights=size[code], minlength=rows).astype(np.int64)
-    marked = [r for r in np.unique(np.searchsorted(off, np.flatnonzero(c == 39), "right") - 1).tolist()]
-    if marked:
-        parts = np.split(out, np.cumsum(count)[:-1])
-        for r in marked:
-            parts[r] = np.array(enc._core_bpe.encode_ordinary(c[off[r] : off[r + 1]].tobytes().decode("utf-32-le")), np.uint32)
-            count[r] = len(parts[r])
-        out = np.concatenate(parts).astype(np.uint32)
     return out, count
 
 
