@@ -2,8 +2,9 @@
 and/or/with expressions that follow the tags.
 
 A document's findings: the expression of each tag, in reverse Polish form and as permissive or not, and the licences that its
-notice phrases name. An expression is permissive if the grammar says so: A OR B if one is, A AND B if both are, A WITH e as A.
-Unknown identifiers count as not permissive; a malformed expression is kept as `invalid`.
+notice phrases name (the longest phrase at a place; "all rights reserved" counts against a text that names no licence only). An
+expression is permissive if the grammar says so: A OR B if one is, A AND B if both are, A WITH e as A.
+A + behind an id is read as or later. Unknown identifiers count as not permissive; a malformed expression is kept as `invalid`.
 
 Defined cases: null and empty texts have no findings; documents without findings give no row; null doc_ids are scanned and
 keep the null; repeated rows give repeated rows; a tag at the end of a line without identifier is `invalid`; matching ignores
@@ -12,6 +13,8 @@ ASCII case; for notices, runs of white space count as one space, with the commen
 
 from __future__ import annotations
 
+import csv
+import os
 import re
 
 import pyarrow as pa
@@ -20,24 +23,35 @@ from pyspark.sql import DataFrame
 from .shared import only, ready
 
 TAGS = ("spdx-license-identifier:", "license-expression:", "license-identifier:")
-#: Licences: permissive or not.
-KNOWN = {
-    "MIT": True, "Apache-2.0": True, "BSD-2-Clause": True, "BSD-3-Clause": True, "ISC": True, "Zlib": True, "Unlicense": True, "CC0-1.0": True, "CC-BY-4.0": True, "0BSD": True, "BSL-1.0": True, "PSF-2.0": True,
-    "GPL-2.0-only": False, "GPL-2.0-or-later": False, "GPL-3.0-only": False, "GPL-3.0-or-later": False, "LGPL-2.1-only": False, "LGPL-2.1-or-later": False, "LGPL-3.0-only": False, "LGPL-3.0-or-later": False, "AGPL-3.0-only": False, "AGPL-3.0-or-later": False, "MPL-2.0": False, "EPL-2.0": False, "CC-BY-SA-4.0": False, "CC-BY-NC-4.0": False, "CC-BY-NC-SA-4.0": False, "CC-BY-ND-4.0": False, "LicenseRef-Proprietary": False,
-}
-ALIASES = {"gpl-2.0": "GPL-2.0-only", "gpl-2.0+": "GPL-2.0-or-later", "gpl-3.0": "GPL-3.0-only", "gpl-3.0+": "GPL-3.0-or-later", "lgpl-2.1": "LGPL-2.1-only", "lgpl-3.0": "LGPL-3.0-only", "agpl-3.0": "AGPL-3.0-only"}
+#: Licences: permissive or not. The list of ids is data; what isn't in it counts as not permissive.
+with open(os.path.join(os.path.dirname(os.path.abspath(__file__)), "spdx.tsv"), encoding="utf-8", newline="") as _f:
+    KNOWN = {r["id"]: r["permissive"] == "1" for r in csv.DictReader(_f, delimiter="\t")}
+PROPRIETARY = "LicenseRef-Proprietary"
+KNOWN |= {PROPRIETARY: False, "LicenseRef-LGPL": False, "LicenseRef-AGPL": False, "LicenseRef-GPL": False}
+ALIASES = {}
+for _k in [k for k in KNOWN if k.endswith("-only")]:  # the ids of old: GPL-2.0, GPL-2.0+
+    ALIASES |= {_k.removesuffix("-only").lower(): _k, _k.removesuffix("-only").lower() + "+": _k.removesuffix("only") + "or-later"}
 NOTICES = {
     "released under the mit license": "MIT", "licensed under the mit license": "MIT", "permission is hereby granted, free of charge": "MIT",
-    "licensed under the apache license, version 2.0": "Apache-2.0", "apache license, version 2.0": "Apache-2.0",
-    "gnu general public license, version 3": "GPL-3.0-only", "gnu general public license version 3": "GPL-3.0-only", "gnu general public license, version 2": "GPL-2.0-only", "gnu general public license version 2": "GPL-2.0-only",
-    "gnu lesser general public license": "LGPL-3.0-only", "gnu affero general public license": "AGPL-3.0-only", "mozilla public license": "MPL-2.0", "eclipse public license": "EPL-2.0",
-    "cc by-nc 4.0": "CC-BY-NC-4.0", "cc by-nc-sa 4.0": "CC-BY-NC-SA-4.0", "cc by-sa 4.0": "CC-BY-SA-4.0", "cc by-nd 4.0": "CC-BY-ND-4.0", "cc by 4.0": "CC-BY-4.0", "cc0 1.0": "CC0-1.0",
-    "redistribution and use in source and binary forms": "BSD-3-Clause", "all rights reserved": "LicenseRef-Proprietary", "permission to use, copy, modify, and/or distribute": "ISC", "boost software license": "BSL-1.0",
+    "licensed under the apache license, version 2.0": "Apache-2.0", "apache license, version 2.0": "Apache-2.0", "apache license version 2.0": "Apache-2.0", "apache license 2.0": "Apache-2.0",
+    "gnu general public license": "LicenseRef-GPL", "gnu lesser general public license": "LicenseRef-LGPL", "gnu library general public license": "LicenseRef-LGPL", "gnu affero general public license": "LicenseRef-AGPL",
+    "mozilla public license": "MPL-2.0", "mozilla public license version 1.1": "MPL-1.1", "mozilla public license, version 1.1": "MPL-1.1", "eclipse public license": "EPL-2.0", "eclipse public license v1.0": "EPL-1.0", "eclipse public license, version 1.0": "EPL-1.0",
+    "cc by-nc 4.0": "CC-BY-NC-4.0", "cc by-nc-sa 4.0": "CC-BY-NC-SA-4.0", "cc by-nc-nd 4.0": "CC-BY-NC-ND-4.0", "cc by-sa 4.0": "CC-BY-SA-4.0", "cc by-nd 4.0": "CC-BY-ND-4.0", "cc by 4.0": "CC-BY-4.0", "cc0 1.0": "CC0-1.0",
+    "creative commons attribution 4.0": "CC-BY-4.0", "creative commons attribution-sharealike 4.0": "CC-BY-SA-4.0", "creative commons attribution-noncommercial 4.0": "CC-BY-NC-4.0", "creative commons attribution-noncommercial-sharealike 4.0": "CC-BY-NC-SA-4.0",
+    "redistribution and use in source and binary forms": "BSD-3-Clause", "all rights reserved": PROPRIETARY, "permission to use, copy, modify, and/or distribute": "ISC", "boost software license": "BSL-1.0",
+    "this is free and unencumbered software released into the public domain": "Unlicense", "do what the fuck you want to public license": "WTFPL", "sil open font license": "OFL-1.1", "python software foundation license": "PSF-2.0", "postgresql license": "PostgreSQL", "server side public license": "SSPL-1.0", "business source license": "BUSL-1.1",
 }
-for _v in ("2.0", "3.0"):  # the standard headers
-    for _sep in (", ", "; ", " "):
-        _gpl = f"gnu general public license as published by the free software foundation{_sep}"
-        NOTICES |= {f"{_gpl}either version {_v[0]}": f"GPL-{_v}-or-later", f"{_gpl}version {_v[0]}": f"GPL-{_v}-only"}
+for _name, _id, _versions in (("gnu general public license", "GPL", ("1", "2", "3")), ("gnu lesser general public license", "LGPL", ("2.1", "3")), ("gnu library general public license", "LGPL", ("2",)), ("gnu affero general public license", "AGPL", ("3",))):
+    for _v in _versions:
+        _full = f"{_id}-{_v if '.' in _v else _v + '.0'}"
+        for _num in {_v, _v if "." in _v else _v + ".0"}:
+            for _mid in (", version ", " version ", " v", ", v", " as published by the free software foundation, version ", " as published by the free software foundation; version ", " as published by the free software foundation version "):
+                NOTICES[f"{_name}{_mid}{_num}"] = f"{_full}-only"
+            for _mid in (" as published by the free software foundation, either version ", " as published by the free software foundation; either version ", " as published by the free software foundation either version "):
+                NOTICES[f"{_name}{_mid}{_num}"] = f"{_full}-or-later"
+            for _mid in (", version ", " version ", " v"):
+                for _end in (" or later", ", or (at your option) any later version", " or any later version"):
+                    NOTICES[f"{_name}{_mid}{_num}{_end}"] = f"{_full}-or-later"
 _FOLD = {k.lower(): k for k in KNOWN} | ALIASES
 _TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9][A-Za-z0-9.+:-]*)")
 _MARK = r"(?:[*#/;%|!>]++|<!--+|--++>?|(?:dnl|rem)\b)"
@@ -46,8 +60,22 @@ _RANK = {"OR": 1, "AND": 2, "WITH": 3}
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789_")
 
 
+def is_id(token: str, exception: bool = False) -> bool:
+    """Whether a word may be a licence's id (or an exception's): a known one, one of its own kind, or of such a form."""
+    t = token.rstrip(".:").lower()
+    return t in _FOLD or t.rstrip("+") in _FOLD or t.startswith(("licenseref-", "documentref-")) or bool(re.search(r"-.*\d", t)) or (exception and "-" in t)
+
+
+def _goes_on(text: str, at: int, operator: str) -> bool:
+    """Whether an operand follows an operator: words like and, or, with also stand in the sentence behind an expression."""
+    while (m := _TOKEN.match(text, at)) and m[1] == "(":
+        at = m.end()
+    return bool(m) and is_id(m[1], operator == "WITH")
+
+
 def expression_at(text: str, at: int) -> list[str]:
-    """Tokens of the expression that begins at a position: identifiers, operators, parentheses, to where it can't go on."""
+    """Tokens of the expression that begins at a position: identifiers, operators, parentheses, to where it can't go on. An operator
+    in small letters is part of it only if an id follows."""
     out, depth, operand = [], 0, True
     while m := _TOKEN.match(text, at):
         t = m[1]
@@ -63,7 +91,7 @@ def expression_at(text: str, at: int) -> list[str]:
             if not depth:
                 break
             depth -= 1
-        elif up in _RANK:
+        elif up in _RANK and (t == up or _goes_on(text, m.end(), up)):
             t, operand = up, True
         else:
             break
@@ -99,7 +127,8 @@ def postfix(tokens: list[str]) -> list[str] | None:
             if not operand:
                 return None
             t = t.rstrip(".:") if t.lower() not in _FOLD else t
-            out.append(_FOLD.get(t.lower(), t))
+            base = _FOLD.get(t.rstrip("+").lower())
+            out.append(_FOLD.get(t.lower()) or (f"{base}+" if base and t.endswith("+") else t))
             operand = False
     if operand or "(" in stack:
         return None
@@ -111,7 +140,7 @@ def permissive(rpn: list[str]) -> bool | None:
     stack: list = []
     for t in rpn:
         if t not in _RANK:
-            stack.append((KNOWN.get(t, False), True))
+            stack.append((KNOWN.get(t.removesuffix("+"), False), True))
             continue
         (b, plain), (a, left) = stack.pop(), stack.pop()
         if t == "WITH" and not (plain and left):
@@ -154,13 +183,21 @@ def scan(text: str | None):
         rpns.append(" ".join(rpn) if value is not None else "invalid")
         values.append(bool(value))
     view = _GAP.sub(" ", low.replace("\r\n", "\n").replace("\r", "\n"))
+    last, found = 0, []
     for end, (phrase, licence) in of_notices.iter(view):
         start = end - len(phrase) + 1
         if not (start and view[start - 1] in _WORD) and (end + 1 >= len(view) or view[end + 1] not in _WORD):
+            found.append((start, -end, licence))
+    # the longest phrase at a place stands for those within it
+    for start, end, licence in sorted(found):
+        if -end >= last:
             notices.add(licence)
+            last = -end + 1
     if not rpns and not notices:
         return None
-    return rpns, values, sorted(notices), all(values) and all(KNOWN[x] for x in notices)
+    # who names a licence may still say that all rights are reserved
+    named = notices - {PROPRIETARY} if len(notices) > 1 or any(v != "invalid" for v in rpns) else notices
+    return rpns, values, sorted(notices), all(values) and all(KNOWN[x] for x in named)
 
 
 def licenses(docs: DataFrame) -> DataFrame:
