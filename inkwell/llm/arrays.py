@@ -26,6 +26,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by a plain sort: many times as fast as np.unique, which hashes, for 64-bit numbers."""
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]][: len(x)]]
+
+
 def trim() -> None:
     """Gives memory that isn't in use back to the system: workers live on between tasks."""
     pa.default_memory_pool().release_unused()

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import classes, codes, ragged, slices
+from .arrays import classes, codes, distinct, ragged, slices
 from .shared import only, ready
 
 Q, RATE, SEGMENT, MIN_CHARS = 10, 0.06, 96, 24
@@ -133,7 +133,7 @@ def find(col: pa.Array, ix: dict) -> list[tuple[int, int, int, int]]:
 def _whole(c: np.ndarray, off: np.ndarray, short: dict) -> set[tuple[int, int]]:
     """(row, item) of the short items that stand in a text from a word's start to a word's end."""
     first = np.flatnonzero((c != 32) & np.r_[True, c[:-1] == 32][: len(c)])
-    first = np.unique(np.r_[first, off[:-1][off[:-1] < len(c)]])
+    first = distinct(np.r_[first, off[:-1][off[:-1] < len(c)]])
     row = np.searchsorted(off, first, "right") - 1
     out = set()
     for size, items in short.items():
@@ -165,7 +165,7 @@ def _windows(c: np.ndarray, off: np.ndarray, ix: dict) -> list[tuple[int, int, i
     band = (np.repeat(hit, count) - pos + shift) // (ix["k"][it] + 1)
     key = (it.astype(np.uint64) << np.uint64(44)) | (row.astype(np.uint64) << np.uint64(32)) | band.astype(np.uint64)
     # a hit counts in its band and in the one below, which it is the upper half of
-    has = np.unique(key)
+    has = distinct(key)
     low = key - np.uint64(1)
     at = np.minimum(np.searchsorted(has, low), len(has) - 1) if len(has) else np.zeros(0, np.int64)
     low_too = has[at] == low if len(has) else np.zeros(0, bool)

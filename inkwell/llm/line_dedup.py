@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import codes, most_common, packed, ragged, slices, span_hash, trim, unpacked
+from .arrays import codes, distinct, most_common, packed, ragged, slices, span_hash, trim, unpacked
 from .components import components
 from .decontaminate import gram_hash
 from .shared import dropped, key_bitmap, may_hold, only, ready, released, written
@@ -258,8 +258,10 @@ def _pairs(star: bool):
             o = np.lexsort((h, band))
             found = [x for x in of(band[o], h[o], root[o], np.stack([s0, s1], 1).view(np.uint64)[o])]
             a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-            pair = np.unique(np.stack([a, b]), axis=1) if len(a) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
+            o = np.lexsort((b, a))
+            a, b = a[o], b[o]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+            return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
 
         for b in batches:
             if not b.num_rows:
@@ -280,7 +282,7 @@ def _pairs(star: bool):
 
 def parities(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, list[bytes]]:
     """Number of distinct hashes of each row, and in which of 64, 128, 256 or so buckets, no fewer than that, an odd number falls."""
-    key = np.unique(row.astype(np.uint64) << np.uint64(32) | h)
+    key = distinct(row.astype(np.uint64) << np.uint64(32) | h)
     row, h = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
     size = np.bincount(row, minlength=rows)
     log = np.maximum(6, np.ceil(np.log2(np.maximum(size, 1)))).astype(np.int64)
@@ -339,7 +341,7 @@ def similar(x: pa.Array, y: pa.Array, t: float) -> np.ndarray:
         h = gram_hash(c, K) >> np.uint64(12) if len(c) >= K else np.zeros(0, np.uint64)
         n = np.maximum(np.diff(off) - K + 1, 0)
         row = np.repeat(np.arange(len(n)), n)
-        key = np.unique(row.astype(np.uint64) << np.uint64(52) | h[ragged(off[:-1], n)])
+        key = distinct(row.astype(np.uint64) << np.uint64(52) | h[ragged(off[:-1], n)])
         return key, np.bincount((key >> np.uint64(52)).astype(np.int64), minlength=len(n))
 
     (p, n), (q, m) = keys(x), keys(y)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import most_common, ngram_hash, packed, ragged, slices, trim, unpacked, words
+from .arrays import distinct, most_common, ngram_hash, packed, ragged, slices, trim, unpacked, words
 from .components import components
 from .shared import dropped, key_bitmap, may_hold, only, ready, written
 
@@ -56,7 +56,7 @@ def _grams(col: pa.Array, n: int, order: np.ndarray | None) -> tuple[np.ndarray,
     g, row = ngram_hash(h, row, n)
     g &= _MASK
     key = g if order is None else g | (order[(g & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS))
-    key = np.unique(key | (row.astype(np.uint64) << np.uint64(HASH_BITS + 6)))
+    key = distinct(key | (row.astype(np.uint64) << np.uint64(HASH_BITS + 6)))
     return (key >> np.uint64(HASH_BITS + 6)).astype(np.int64), key & (_MASK if order is None else np.uint64((1 << (HASH_BITS + 6)) - 1))
 
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .arrays import distinct
+
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -97,7 +99,7 @@ def key_bitmap(keys: DataFrame, n: int):
 
     def blocks(batches):
         for b in batches:
-            at = np.unique(mixed(np.asarray(b.column(0).drop_null())) & np.uint64(bits - 1)).astype(np.int64)
+            at = distinct(mixed(np.asarray(b.column(0).drop_null())) & np.uint64(bits - 1)).astype(np.int64)
             blk = at // BLOCK
             cut = np.flatnonzero(np.r_[True, blk[1:] != blk[:-1], True][: len(blk) + 1]) if len(blk) else np.zeros(0, int)
             out = []
