@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..rules import EDGE, SPACE, WORD
 
-MAX_CHARS = 5_000_000
 WORDS = r"[A-Za-z][A-Za-z\-'’]*"
 FENCE = r"(?dm)^[\t ]*(([`~])\2{2,})[^\n]*?(?:\n(?s:.*?))?(?:\n[\t ]*\1[\t ]*$|\z)"
 INLINE = r"`+[^\n`]*+`+"
@@ -38,9 +37,9 @@ def splice(text: Column, regex: str, change) -> Column:
     return F.array_join(F.zip_with(split(text, regex), extract(text, regex), lambda g, m: F.concat(g, F.when(m.isNull(), F.lit("")).otherwise(change(m)))), "")
 
 
-def clean(text: Column) -> Column:
-    """Line feeds only, no byte order mark, no control characters, at most MAX_CHARS."""
-    t = F.regexp_replace(F.substring(text, 1, MAX_CHARS), "\r\n?", "\n")
+def clean(text: Column, most: int | None = None) -> Column:
+    """Line feeds only, no byte order mark, no control characters; the whole text, or its first `most` characters."""
+    t = F.regexp_replace(text if most is None else F.substring(text, 1, most), "\r\n?", "\n")
     return F.regexp_replace(F.regexp_replace(t, "^\ufeff", ""), r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
 
 
@@ -118,9 +117,10 @@ _SHORT = sorted("al approx ca cf ch co corp dept dr e.g est etc fig i.e inc jr l
 def sentences(prose: Column) -> Column:
     """Split after . ! ? and white space before a capital, digit, quote or bracket; not inside numbers, ellipses and abbreviations."""
     t = F.regexp_replace(prose, r"(\d)\.(\d)", "$1" + _NUL + "$2")
-    t = splice(t, r"\.{3,}", lambda m: F.repeat(F.lit(_NUL), F.length(m)))
-    t = splice(t, EDGE + r"(?:[A-Za-z]\.){2,}", lambda m: F.translate(m, ".", _NUL))
-    t = F.regexp_replace(t, "(?iu)" + EDGE + "(" + "|".join(w.replace(".", r"\.") for w in _SHORT) + r")\.", "$1" + _NUL)
+    # each splice only where its marks are; what shortens the search stands first
+    t = let(t, lambda t: F.when(t.contains("..."), splice(t, r"\.{3,}", lambda m: F.repeat(F.lit(_NUL), F.length(m)))).otherwise(t))
+    t = let(t, lambda t: F.when(t.rlike(r"[A-Za-z]\.[A-Za-z]\."), splice(t, EDGE + r"(?:[A-Za-z]\.){2,}", lambda m: F.translate(m, ".", _NUL))).otherwise(t))
+    t = F.regexp_replace(t, rf"(?iu)\.(?<=(?<![{WORD}])(?:" + "|".join(w.replace(".", r"\.") for w in _SHORT) + r")\.)", _NUL)
     parts = split(t, rf"""(?<=[!?.])[\])"'’”]?[{SPACE}]+(?=["'(“A-Z0-9])""")
     return F.filter(F.transform(parts, lambda p: F.regexp_replace(F.translate(p, _NUL, "."), rf"^[{SPACE}]+|[{SPACE}]+$", "")), lambda p: p != "")
 
@@ -159,7 +159,7 @@ def counted(values: Column) -> Column:
     def runs(s):
         begin = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
         return let(begin, lambda b: F.transform(b, lambda p, j: F.struct(F.get(s, p - 1).alias("value"), (F.coalesce(F.get(b, j + 1), F.size(s) + 1) - p).alias("n"))))
-    return F.when(F.size(values) > 0, let(F.array_sort(values), runs))
+    return F.when(F.size(values) > 0, let(F.sort_array(values), runs))
 
 
 def longest_run(flags: Column) -> Column:

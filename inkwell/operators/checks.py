@@ -112,10 +112,20 @@ def burstiness(v, th):
 
 
 def mattr(words: Column, window: int = 50) -> Column:
-    """Mean share of distinct words in windows of 50, at every word (every 50th in texts of over 50 000 words)."""
+    """Mean share of distinct words in windows of 50 at every word, however long the text.
+
+    A word at p counts in the windows that hold it but not its previous occurrence; sorting words with their positions puts that
+    next to it. So n log n, not n windows of 50."""
     def of(w):
-        starts = F.sequence(F.lit(1), F.size(w) - window + 1, F.when(F.size(w) <= 50_000, 1).otherwise(window))
-        return T.let(starts, lambda s: F.aggregate(s, F.lit(0), lambda a, i: a + F.size(F.array_distinct(F.slice(w, i, F.lit(window))))) / (F.size(s) * window))
+        n = F.size(w)
+        placed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("w"), i.alias("p"))))
+        def total(a):
+            before = F.concat(F.slice(a, 1, 1), F.slice(a, F.lit(1), n - 1))
+            def windows(x, y):
+                prev = F.when((x["w"] == y["w"]) & (y["p"] < x["p"]), y["p"]).otherwise(-1)
+                return F.greatest(F.lit(0), F.least(x["p"], n - window) - F.greatest(prev + 1, x["p"] - (window - 1), F.lit(0)) + 1)
+            return F.aggregate(F.zip_with(a, before, windows), F.lit(0).cast("bigint"), lambda s, x: s + x)
+        return T.let(placed, total) / ((n - window + 1).cast("bigint") * window)
     return F.when(F.size(words) >= window, T.let(words, of))
 
 
@@ -131,11 +141,18 @@ def lexical_diversity(v, th):
 
 def repeated_grams(words: Column, n: int, least: int) -> Column:
     """array<struct<value, n>> of word n-grams, not all stopwords, that occur least times or more."""
+    empty = F.array().cast("array<struct<value:string,n:int>>")
     def of(w):
-        at = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1))
-        grams = F.filter(F.transform(at, lambda i: F.slice(w, i, F.lit(n))), lambda g: F.exists(g, lambda x: ~x.isin(*STOP)))
-        return F.filter(T.counted(F.transform(grams, lambda g: F.array_join(g, " "))), lambda x: x["n"] >= least)
-    return F.coalesce(T.let(words, of), F.array().cast("array<struct<value:string,n:int>>"))
+        tail = lambda i: F.slice(w, F.lit(i + 1), F.size(w) - (n - 1))
+        # a gram is null where all its words are stopwords; words hold no spaces
+        grams = tail(0)
+        plain = F.transform(grams, lambda x: x.isin(*STOP))
+        for i in range(1, n):
+            grams = F.zip_with(grams, tail(i), lambda x, y: F.concat(x, F.lit(" "), y))
+            plain = F.zip_with(plain, tail(i), lambda x, y: x & y.isin(*STOP))
+        grams = F.filter(F.zip_with(grams, plain, lambda g, p: F.when(~p, g)), lambda g: g.isNotNull())
+        return F.filter(T.counted(grams), lambda x: x["n"] >= least)
+    return F.coalesce(F.when(F.size(words) >= n, T.let(words, of)), empty)
 
 
 def ngram_repetition(v, th):

@@ -32,8 +32,17 @@ PROBES = (
 _REGISTERS = ("technical", "marketing", "academic", "casual", "creative")
 
 
+#: Documents of fewer bytes are spread over all cores before they are analysed: a small file is one row group, so one task. Larger
+#: tables have row groups enough, and aren't shuffled.
+SPREAD_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    d = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents":
+        size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        d = d.repartition(spark.sparkContext.defaultParallelism, "doc_id") if size < SPREAD_BYTES else d
+    return d
 
 
 def probed(spark: SparkSession, sf_dir: str) -> DataFrame:
