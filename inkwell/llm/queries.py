@@ -67,5 +67,20 @@ FROM b
 """
 
 
+#: Sets of word pairs by brute force: all sets that share a gram are counted together, then connected by repeated steps.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z_\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END)) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT s, min(doc_id) AS least, count(*) - 1 AS copies, row_number() OVER () AS id FROM s GROUP BY s),
+g AS MATERIALIZED (SELECT id, len(s) AS n, unnest(s) AS gram FROM c),
+e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id AND least(a.n, b.n) >= 0.65 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING count(*) >= 0.65 * (a.n + b.n - count(*)) - 1e-9),
+l AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT id, id AS other FROM c UNION SELECT r.id, l.b FROM r JOIN l ON r.other = l.a),
+k AS (SELECT r.id, min(c.least) AS class FROM r JOIN c ON c.id = r.other GROUP BY r.id),
+n AS (SELECT a AS id, count(*) AS links FROM l GROUP BY a)
+SELECT s.doc_id, k.class, c.copies, coalesce(n.links, 0) AS links FROM s JOIN c USING (s) JOIN k USING (id) LEFT JOIN n USING (id) WHERE c.copies > 0 OR n.links > 0
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_flac_blocks": OP4_SQL}
+    return {"op4_flac_blocks": OP4_SQL, "op6_ngram_jaccard_join": OP6_SQL}
