@@ -15,6 +15,7 @@ from ..operators import analysis, checks, hits
 from ..sources import documents as sources
 from . import evaluation as E
 
+_R = R.load()
 PROBES = (
     "Let us delve into the robust tapestry. Moreover, studies show that a seamless plan works! Studies suggest [1] the end result is close proximity.",
     "The dash — long — is here - there and everywhere -- again. Years 10–20 count; 5 – 6 too. word—word and yes — no.",
@@ -25,9 +26,11 @@ PROBES = (
     "Emily met Sarah. Emily met Dr. Smith and Dr. Jones and Dr. Brown. lol idk tbh this is fr real.",
     "The best plan, the worst plan and the greatest plan by 12 percent. Fast, cheap, and simple things. Quick, dirty, or clean work. See the test harness.",
     "It's not just a tool, it's a way. Not only fast but also cheap. The data tells us. The decision emerges. That's it. That's the trade.",
-    "<!-- prose-check: ignore filler -->\nWe delve and leverage here.\nWe leverage there. <!-- prose-check: ignore -->\nWe delve.\n<!-- prose-check: ignore-start jargon -->\nsynergy inside\n<!-- prose-check: ignore-end -->\nsynergy outside",
+    "<!-- prose-check: ignore filler -->\nWe delve and leverage here.\nWe leverage there. <!-- prose-check: ignore -->\nWe delve.\n<!-- prose-check: ignore-start jargon -->\nsynergy inside\n<!-- prose-check: ignore-end -->\nsynergy outside\n<!-- prose-check: ignore-start -->\nouter\n<!-- Prose-Check: ignore-start filler, puffery -->\ninner <!-- prose-check: ignore-end --> too\n<!-- prose-check: ignore-end --><!-- prose-check: ignore-end -->\n<!-- prose-check: ignored -->\n<!-- prose-check: ignore-start jargon -->\nleft open",
     "The key is: time. The answer is: money. The point here is: both. It was written and was made and is seen quickly.",
     "As an ai language model, I hope this helps. We may potentially see past history and \"added bonus\" items.\n> the final outcome of it",
+    # a phrase of every list
+    "; ".join(next(p.phrase for p in _R.phrases if p.category == c) for c in sorted({p.category for p in _R.phrases})) + ".",
 )
 _REGISTERS = ("technical", "marketing", "academic", "casual", "creative")
 
@@ -162,10 +165,9 @@ def wh_opener_runs(spark, sf_dir):
     return checked(checks.wh_openers, False, "wh_opener_run")(spark, sf_dir).select("doc_id", F.col("wh_opener_run").alias("run"))
 
 
-@query("subject_opener_runs", run_sql(f"o IN {names_sql(checks.SUBJECTS)}"))
-def subject_opener_runs(spark, sf_dir):
-    flags = F.transform("s", lambda s: F.coalesce(T.first_word(s).isin(*checks.SUBJECTS), F.lit(False)))
-    return raw_views(table(spark, sf_dir)).select("doc_id", T.longest_run(flags).alias("run"))
+_SUBJECT_RUN = run_sql(f"o IN {names_sql(checks.SUBJECTS)}")
+query("subject_opener_runs", f"""SELECT d.doc_id, CASE WHEN n >= 8 THEN run END AS subject_opener_run, CASE WHEN n >= 8 AND run >= 6 THEN 1 ELSE 0 END AS n_hits
+    FROM ({_SUBJECT_RUN}) d LEFT JOIN (SELECT doc_id, count(*) AS n FROM {sentence_sql(RAW_SQL)} GROUP BY doc_id) USING (doc_id)""")(checked(checks.subject_runs, False, "subject_opener_run"))
 
 
 query("parallel_runs", f"""WITH h AS (SELECT doc_id, k, CASE WHEN len(w) >= 2 THEN w[1] || ' ' || w[2] END AS h FROM (SELECT doc_id, k, {TOKENS.format('s')} AS w FROM {sentence_sql(PROBE_SQL)})),
@@ -209,24 +211,32 @@ _PARTS = "|".join(sorted("built chosen done drawn found given grown held kept kn
 query("passive_density", rf"""SELECT doc_id, CASE WHEN n > 0 THEN round(c / n * 1000, 6) ELSE 0 END AS passive_per_1k, CASE WHEN n >= 150 AND c >= 3 AND c / n * 1000 > 45 THEN 1 ELSE 0 END AS n_hits
     FROM (SELECT doc_id, len({TOKENS.format('text')}) AS n, len(regexp_extract_all(text, '(?i)\b(are|be|been|being|gets|got|is|was|were){_WS}+({_WORD}+ly{_WS}+)?({_WORD}+ed|{_PARTS})\b')) AS c FROM {PROBE_SQL})""")(checked(checks.passive_voice, True, "passive_per_1k", digits=6))
 
-_PARAS = r"list_filter(list_transform(regexp_split_to_array(text, '\n[\t ]*\n'), lambda p: len(regexp_extract_all(p, '[A-Za-z][A-Za-z\-''’]*'))), lambda n: n > 0)"
 
 
-@query("paragraph_cov", f"SELECT doc_id, len(p)::INT AS paragraphs, CASE WHEN len(p) >= 2 THEN round(list_stddev_pop(p) / list_avg(p), 6) END AS paragraph_len_cov FROM (SELECT doc_id, {_PARAS} AS p FROM {RAW_SQL})")
-def paragraph_cov(spark, sf_dir):
-    n = F.filter(F.transform(T.split(F.coalesce("text", F.lit("")), "\n[\t ]*\n"), lambda p: T.count(p, T.WORDS)), lambda n: n > 0)
-    return table(spark, sf_dir).select("doc_id", n.alias("n")).select("doc_id", F.size("n").alias("paragraphs"), F.round(T.cov(F.col("n")), 6).alias("paragraph_len_cov"))
+def markup_sql(x: str) -> str:
+    """A line without links, addresses, footnotes, tags and emphasis."""
+    for regex, to in ((r"!?\[([^\]]*)\]\([^)]+\)", r"\1"), (rf"(?:www\.|(?:ftp|https?)://)[^{_WS[1:-1]}]+", " "), (r"\[\^[^\]]+\]", " "), (r"<[^\n>]+>", " "), (r"\*{1,3}|_{1,3}|~~", "")):
+        x = f"regexp_replace({x}, {q(regex)}, {q(to)}, 'g')"
+    return x
+
+
+def paragraphs_sql(structure: str) -> str:
+    """List of paragraphs of text: blocks between blank lines, without lines of the given structure and rules."""
+    lines = rf"list_filter(string_split(b, chr(10)), lambda x: NOT regexp_matches(x, '{structure}') AND NOT regexp_matches(regexp_replace(x, '[\t ]', '', 'g'), '^(-{{3,}}|_{{3,}}|\*{{3,}})$'))"
+    return rf"list_filter(list_transform(regexp_split_to_array(text, '\n[\t ]*\n'), lambda b: trim({markup_sql(f'array_to_string({lines}, chr(32))')})), lambda p: regexp_matches(p, '[A-Za-z]'))"
+
+
+_PROSE = r"^[\t ]*#{1,6}[\t ]+|^[\t ]*\||^[\t ]*(?:-+|=+)[\t ]*$|^[\t ]*(?:\d+[.)]|[-+*])[\t ]+"
+_LEN = r"lambda p: len(regexp_extract_all(p, '[A-Za-z][A-Za-z\-''’]*'))"
+query("paragraph_cov", f"""SELECT doc_id, CASE WHEN len(p) >= 2 THEN round(list_stddev_pop(p) / list_avg(p), 6) END AS paragraph_len_cov, CASE WHEN len(p) >= 4 AND list_stddev_pop(p) / list_avg(p) < 0.3 THEN 1 ELSE 0 END AS n_hits
+    FROM (SELECT doc_id, list_transform({paragraphs_sql(_PROSE)}, {_LEN}) AS p FROM {PROBE_SQL})""")(checked(checks.paragraph_uniformity, True, "paragraph_len_cov", digits=6))
 
 
 _CONTENT = "list_distinct(list_filter(" + TOKENS.format("{}") + f", lambda w: w NOT IN {names_sql(checks.STOP)}))"
 
 
-@query("circular_conclusion", rf"""WITH p AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\n[\t ]*\n'), lambda p: regexp_matches(p, '[A-Za-z]')) AS p FROM {PROBE_SQL}),
-    e AS (SELECT doc_id, {_CONTENT.format('p[1]')} AS a, {_CONTENT.format('p[-1]')} AS b FROM p WHERE len(p) >= 3)
-    SELECT doc_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS overlap FROM e WHERE len(a) > 0 AND len(b) > 0""")
-def circular_conclusion(spark, sf_dir):
-    p = F.filter(T.split(F.col("text"), "\n[\t ]*\n"), lambda p: p.rlike("[A-Za-z]"))
-    return probed(spark, sf_dir).select("doc_id", F.round(checks.overlap_of_ends(p), 6).alias("overlap")).filter("overlap is not null")
+query("circular_conclusion", f"""WITH p AS (SELECT doc_id, {paragraphs_sql(_PROSE.split('|^[\\t ]*(?:-+')[0])} AS p FROM {PROBE_SQL}), e AS (SELECT doc_id, len(p) AS n, {_CONTENT.format('p[1]')} AS a, {_CONTENT.format('p[-1]')} AS b FROM p)
+    SELECT doc_id, CASE WHEN n >= 3 AND len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.5 THEN 1 ELSE 0 END AS n_hits FROM e""")(checked(checks.circular_conclusion, True))
 
 
 _MARKS = {"semicolon": ";", "colon": ":", "question": "?", "exclaim": "!", "paren": "("}
@@ -262,11 +272,21 @@ query("doubled_words", rf"""WITH x AS (SELECT doc_id, unnest(regexp_extract_all(
     c AS (SELECT doc_id, count(*) AS n FROM u WHERE i % 2 = 1 AND p NOT IN {names_sql(checks.DOUBLE_OK)} GROUP BY doc_id)
     SELECT d.doc_id, coalesce(n, 0)::INT AS doubled_words, least(coalesce(n, 0), 8)::INT AS n_hits FROM documents d LEFT JOIN c USING (doc_id)""")(checked(checks.doubled_words, True, "doubled_words"))
 
-for _name, _check, _cols in (("em_dash_density", checks.em_dash, ("em_dash_count", "en_dash_count", "paired_dash_asides")), ("dash_style", checks.dash_style, ("dash_ascii_double", "dash_spaced_hyphen", "em_dash_spacing_mixed")), ("heading_case", checks.headings, ()), ("rule_of_three", checks.rule_of_three, ()), ("five_paragraph", checks.five_paragraph_shape, ("prose_paragraphs",)), ("superlatives", checks.superlatives, ("superlative_per_1k",)), ("list_uniformity", checks.list_uniformity, ("list_item_cov",)), ("rhetorical_density", checks.rhetorical, ("rhetorical_per_1k",))):
+for _name, _check, _cols in (("em_dash_density", checks.em_dash, ("em_dash_count", "en_dash_count", "paired_dash_asides")), ("dash_style", checks.dash_style, ("dash_ascii_double", "dash_spaced_hyphen", "em_dash_spacing_mixed")), ("heading_case", checks.headings, ()), ("rule_of_three", checks.rule_of_three, ()), ("five_paragraph", checks.five_paragraph_shape, ("prose_paragraphs",)), ("superlatives", checks.superlatives, ("superlative_per_1k",)), ("rhetorical_density", checks.rhetorical, ("rhetorical_per_1k",))):
     query(_name)(checked(_check, True, *_cols))
+query("list_uniformity")(checked(checks.list_uniformity, True, "list_item_cov", digits=6))
 
 SQL["dash_style"] = rf"""SELECT doc_id, a::INT AS dash_ascii_double, h::INT AS dash_spaced_hyphen, t > 0 AND s > 0 AS em_dash_spacing_mixed, (least(a, 6) + least(h, 6) + CASE WHEN t > 0 AND s > 0 THEN 1 ELSE 0 END)::INT AS n_hits FROM (SELECT doc_id,
     len(regexp_extract_all(text, '{_WS}--{_WS}|{_WORD}--{_WORD}')) AS a, len(regexp_extract_all(text, '[a-z] - [a-z]')) AS h, len(regexp_extract_all(text, '{_WORD}—{_WORD}')) AS t, len(regexp_extract_all(text, '{_WORD}{_WS}—{_WS}{_WORD}')) AS s FROM {PROBE_SQL})"""
+_DASH_SQL = rf"""(SELECT *, em + en AS n FROM (SELECT doc_id, len({TOKENS.format('text')}) AS words, len(text) - len(replace(text, '—', '')) + len(regexp_extract_all(text, '{_WS}--{_WS}')) + len(regexp_extract_all(text, '{_WORD}--{_WORD}')) AS em,
+    len(text) - len(replace(text, '–', '')) - len(regexp_extract_all(text, '[0-9]{_WS}{{0,4}}–{_WS}{{0,4}}[0-9]')) AS en, len(regexp_extract_all(text, '[—–]{_WS}?[^—–\n]{{1,50}}?{_WS}?[—–]')) AS pairs FROM {PROBE_SQL}))"""
+SQL["em_dash_density"] = f"""SELECT doc_id, em::INT AS em_dash_count, en::INT AS en_dash_count, pairs::INT AS paired_dash_asides, CASE WHEN words > 0 AND n / words * 1000 > 1.5 AND n >= 2 THEN least(n, 8) WHEN pairs >= 2 THEN least(pairs, 6) ELSE 0 END::INT AS n_hits FROM {_DASH_SQL}"""
+SQL["list_uniformity"] = rf"""SELECT doc_id, CASE WHEN len(n) >= 2 THEN round(list_stddev_pop(n) / list_avg(n), 6) END AS list_item_cov, CASE WHEN len(n) >= 4 AND list_stddev_pop(n) / list_avg(n) < 0.22 THEN 1 ELSE 0 END AS n_hits FROM (SELECT doc_id,
+    list_filter(list_transform(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^[\t ]*(?:\d+[.)]|[-+*])[\t ]+')), lambda x: len(regexp_extract_all({markup_sql("regexp_replace(x, '^[\\t ]*(?:[0-9]+[.)]|[-+*])[\\t ]+', '')")}, '[A-Za-z][A-Za-z\-''’]*'))), lambda n: n > 0) AS n FROM {PROBE_SQL})"""
+SQL["heading_case"] = rf"""WITH h AS (SELECT doc_id, k, regexp_replace(trim(regexp_replace(line, '^[\t ]*#{{1,6}}[\t ]+', '')), '[\t ]*#*$', '') AS title FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM {PROBE_SQL}) WHERE regexp_matches(line, '^[\t ]*#{{1,6}}[\t ]+[^\n]+$')),
+    w AS (SELECT doc_id, k, list_filter(regexp_split_to_array(title, '{_WS}+'), lambda w: regexp_matches(w, '\p{{L}}')) AS w FROM h), c AS (SELECT doc_id, k, len(list_filter(w, lambda w: regexp_matches(w, '^\p{{Lu}}'))) >= greatest(2, len(w) - 1) AS up FROM w WHERE len(w) >= 2),
+    n AS (SELECT doc_id, count(*) FILTER (up) AS a, count(*) FILTER (NOT up) AS b, arg_min(up, k) AS first FROM c GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(CASE WHEN a = b THEN a ELSE least(a, b) END, 0)::INT AS n_hits FROM documents d LEFT JOIN n USING (doc_id)"""
 SQL["rhetorical_density"] = f"""SELECT d.doc_id, CASE WHEN n > 0 THEN coalesce(r, 0) / n * 1000 ELSE 0 END AS rhetorical_per_1k, CASE WHEN n >= 150 AND r >= 3 AND r / n * 1000 > 18 THEN 1 ELSE 0 END AS n_hits FROM (SELECT doc_id, len({TOKENS.format('text')}) AS n FROM {PROBE_SQL}) d
     LEFT JOIN (SELECT doc_id, count(*) FILTER (suffix(s, '?')) AS r FROM {sentence_sql(PROBE_SQL)} GROUP BY doc_id) USING (doc_id)"""
 SQL["five_paragraph"] = rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n[\t ]*\n'), lambda b: trim(array_to_string(list_filter(string_split(b, chr(10)), lambda x: NOT regexp_matches(x, '^[\t ]*#{{1,6}}[\t ]+|^[\t ]*(?:-+|=+)[\t ]*$|^[\t ]*\||^[\t ]*(?:\d+[.)]|[-+*])[\t ]+') AND NOT regexp_matches(regexp_replace(x, '[\t ]', '', 'g'), '^(-{{3,}}|_{{3,}}|\*{{3,}})$')), ' '))), lambda p: regexp_matches(regexp_replace(p, '<[^\n>]+>', ' ', 'g'), '[A-Za-z]')) AS p FROM {PROBE_SQL})
@@ -274,8 +294,6 @@ SQL["five_paragraph"] = rf"""WITH p AS (SELECT doc_id, list_filter(list_transfor
 
 # Lexical hits
 
-_R = R.load()
-
 
 def _re2(regex: str) -> str:
     return regex.replace("(?iu)", "(?i)").replace(R.EDGE, r"\b").replace(f"[{R.SPACE}]", _WS)
@@ -324,9 +342,9 @@ def redundancy_unquoted(spark, sf_dir):
 _FAMILIES = "(VALUES " + ", ".join(f"({q(c)}, {q(_re2(R.pattern(p)).replace('(?dui)', '(?i)').replace(f'[{R.WORD}]', _WORD))})" for c, f in R.PATTERNS.items() for p in f) + ") AS f(category, regex)"
 
 
-@query("pattern_hits", f"SELECT doc_id, category, unnest(regexp_extract_all(text, regex)) AS text FROM {PROBE_SQL}, {_FAMILIES}")
+@query("pattern_hits", f"SELECT doc_id, category, unnest(regexp_extract_all(CASE WHEN category IN {names_sql(R.IGNORES_PROTECTED)} THEN text ELSE regexp_replace(text, {q(_EXCEPT)}, '§', 'g') END, regex)) AS text FROM {PROBE_SQL}, {_FAMILIES}")
 def pattern_hits(spark, sf_dir):
-    d = probed(spark, sf_dir).withColumn("p", F.array().cast("array<struct<start:int,end:int,text:string>>"))
+    d = probed(spark, sf_dir).withColumn("p", hits.protected(F.col("text"), _R.protected))
     x = d.select("doc_id", "text", F.explode(hits.pattern_hits(F.col("text"), F.col("p"))).alias("h"))
     return x.select("doc_id", "h.category", F.substring("text", F.col("h.start") + 1, F.col("h.end") - F.col("h.start")).alias("text"))
 
@@ -365,22 +383,25 @@ def directive_lines(spark, sf_dir):
     return x.select("doc_id", "d.first", "d.last", F.array_join("d.categories", ",").alias("categories"))
 
 
-SQL["directive_lines"] = f"""WITH l AS (SELECT doc_id, len(string_split(text, chr(10))) AS n FROM {PROBE_SQL} WHERE doc_id % {len(PROBES)} = 9)
-    SELECT doc_id, (n + a)::INT AS first, (n + b)::INT AS last, c AS categories FROM l, (VALUES (-6, -6, 'filler'), (-5, -5, ''), (-3, -1, 'jargon')) AS v(a, b, c)"""
+_DIRECTIVE = rf"(?i)<!--{_WS}*{_R.marker}:{_WS}*(ignore-start|ignore-end|ignore)\b([^>]*?)-->"
+#: Events in order; an end closes the last start of its level, levels begin anew below an end that closes nothing.
+SQL["directive_lines"] = rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM {PROBE_SQL}),
+    e AS (SELECT doc_id, k, line, unnest(regexp_extract_all(line, {q(_DIRECTIVE)}, 0)) AS whole, lower(unnest(regexp_extract_all(line, {q(_DIRECTIVE)}, 1))) AS kind, unnest(regexp_extract_all(line, {q(_DIRECTIVE)}, 2)) AS said, generate_subscripts(regexp_extract_all(line, {q(_DIRECTIVE)}), 1) AS j FROM l),
+    c AS (SELECT *, array_to_string(list_filter(regexp_split_to_array(said, '[,\s]+'), lambda x: x <> ''), ',') AS categories, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS i FROM e),
+    s AS (SELECT *, sum(CASE kind WHEN 'ignore-start' THEN 1 WHEN 'ignore-end' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM c),
+    m AS (SELECT *, least(0, min(s) OVER (PARTITION BY doc_id ORDER BY i)) AS m FROM s),
+    v AS (SELECT *, s - m AS level, coalesce(lag(s) OVER w, 0) - coalesce(lag(m) OVER w, 0) AS before FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+    SELECT doc_id, CASE WHEN trim(replace(line, whole, '')) = '' THEN k + 1 ELSE k END::INT AS first, CASE WHEN trim(replace(line, whole, '')) = '' THEN k + 1 ELSE k END::INT AS last, categories FROM v WHERE kind = 'ignore'
+    UNION ALL SELECT z.doc_id, max_by(a.k, a.i)::INT, any_value(z.k)::INT, max_by(a.categories, a.i) FROM v z JOIN v a ON a.doc_id = z.doc_id AND a.kind = 'ignore-start' AND a.i < z.i AND a.level = z.before WHERE z.kind = 'ignore-end' AND z.before > 0 GROUP BY z.doc_id, z.i"""
 
 _LEX_SCORE = f"""(SELECT d.doc_id, n AS words, coalesce(sum(weight * len(found)), 0) AS points, coalesce(sum(len(found)), 0) AS hits FROM (SELECT doc_id, len({TOKENS.format('text')}) AS n FROM {PROBE_SQL}) d LEFT JOIN {PHRASE_SQL} USING (doc_id) GROUP BY ALL)"""
 
 
-def lexical_scores(spark, sf_dir) -> DataFrame:
-    d = _hits(spark, sf_dir).withColumn("hits", F.filter("hits", _plain)).withColumn("words", F.size(T.tokens(F.col("text"))))
-    points = F.aggregate("hits", F.lit(0.0), lambda s, h: s + analysis.weight_of(h["category"], _R))
-    return d.select("doc_id", "words", points.alias("points"), F.size("hits").alias("hits"))
-
-
-@query("lexical_scorecard", f"SELECT doc_id, words::INT AS words, hits::INT AS hits, CASE WHEN words > 0 THEN round(points / words * 1000, 6) ELSE 0 END AS score, CASE WHEN words = 0 OR points / words * 1000 < 5 THEN 'clean' WHEN points / words * 1000 < 15 THEN 'watch' ELSE 'strong-tell' END AS verdict FROM {_LEX_SCORE}")
+@query("lexical_scorecard", f"WITH x AS (SELECT *, CASE WHEN words > 0 THEN round_even(points / words * 1000, 1) ELSE 0 END AS score FROM {_LEX_SCORE}) SELECT doc_id, words::INT AS words, hits::INT AS hits, score, CASE WHEN score < 5 THEN 'clean' WHEN score < 15 THEN 'watch' ELSE 'strong-tell' END AS verdict FROM x")
 def lexical_scorecard(spark, sf_dir):
-    d = lexical_scores(spark, sf_dir).withColumn("score", F.when(F.col("words") > 0, F.col("points") / F.col("words") * 1000).otherwise(0.0))
-    return d.select("doc_id", "words", "hits", F.round("score", 6).alias("score"), analysis.verdict_of(F.col("score"), _R).alias("verdict"))
+    d = _hits(spark, sf_dir).select("doc_id", F.filter("hits", _plain).alias("found"), F.size(T.tokens(F.col("text"))).alias("words"))
+    d = d.withColumn("score", analysis.score_of(F.col("found"), F.col("words"), _R))
+    return d.select("doc_id", "words", F.size("found").alias("hits"), "score", analysis.verdict_of(F.col("score"), _R).alias("verdict"))
 
 
 @query("verdict_counts", f"SELECT verdict, count(*) AS documents, sum(words)::BIGINT AS words FROM ({SQL['lexical_scorecard']}) GROUP BY ROLLUP (verdict)")
@@ -506,9 +527,12 @@ def bootstrap_intervals(spark, sf_dir):
     return E.bootstrap(labelled(spark, sf_dir), 8.0)
 
 
-@query("unlabelled_documents", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
+@query("unlabelled_documents", """SELECT doc_id, 'no label' AS problem FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
+    UNION ALL SELECT doc_id, 'no file' FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE l.doc_id = d.doc_id) UNION ALL SELECT doc_id, 'bad label' FROM labels WHERE quality IS NULL UNION ALL SELECT doc_id, 'unknown register' FROM labels WHERE toxic IS NULL""")
 def unlabelled_documents(spark, sf_dir):
-    return table(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id").distinct()
+    """The corpus check, with quality as label and toxicity as register."""
+    y = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("label"), F.col("toxic").cast("string").alias("register"))
+    return E.unmatched(table(spark, sf_dir).select("doc_id"), y, "doc_id", ("0", "1"), ("0", "1"))
 
 
 @query("spearman", f"""WITH x AS (SELECT lang, avg(score) AS a, count(*) AS b FROM {_LABELLED} GROUP BY lang), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS a, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS b FROM x) SELECT round(corr(a, b), 9) AS rho FROM r""")
@@ -518,8 +542,8 @@ def spearman(spark, sf_dir):
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: the scorecard of the phrase lists; the full one takes long to plan."""
-    return lexical_scorecard(spark, sf_dir)
+    """The flagship: the full analysis of each document."""
+    return scorecard(spark, sf_dir)
 
 
 def queries() -> dict:
