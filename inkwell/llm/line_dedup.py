@@ -10,7 +10,7 @@ hash, line number) is kept.
 Equal normalised lines are one node (a 64-bit hash) throughout. Every line of a band's bucket is first compared with the
 bucket's least node; the nodes of a bucket that are then in different components are compared with each other. So every
 candidate pair is either verified or already connected, and a bucket of thousands of copies costs thousands of checks. Bands
-are shuffled packed, sketches once a line, and texts only of lines that share a band with another.
+are shuffled packed, sketches once a line, and texts only of lines whose sketch agrees with another's of their bands.
 
 Defined cases: empty (blank) lines are kept and never compared; a null text stays null; a null doc_id is a document like any
 other (least of all); rows that repeat doc_id and text are one document: they lose the same lines; an empty table gives no
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .arrays import codes, distinct, most_common, packed, ragged, slices, span_hash, trim, unpacked
 from .components import components
 from .decontaminate import gram_hash
-from .shared import dropped, key_bitmap, may_hold, only, ready, released, written
+from .shared import dropped, key_bitmap, may_hold, only, ready, written
 
 K, BANDS, ROWS, THRESHOLD = 5, 12, 5, 0.8
 LEAST, BAND_BITS = 40, 44
@@ -219,7 +219,17 @@ def _buckets(parts: int):
 
 def _pairs(star: bool):
     """(a, b), a < b, of lines of a band whose sketches agree in LEAST minima: each with the band's least line, or those of
-    different components that aren't such pairs. The input is sorted by band; a band's lines are held at once, as numbers."""
+    different components that aren't such pairs. With the former also (a, a) for lines that agree with another one only: all lines
+    that may be compared later are named. The input is sorted by band; a band's lines are held at once, as numbers."""
+
+    def expanded(left, begin, count):
+        """Index pairs (left[k], begin[k] .. begin[k] + count[k] - 1), STEP or so at once."""
+        total = np.cumsum(count)
+        at = 0
+        while at < len(left):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
+            yield np.repeat(left[at:to], count[at:to]), ragged(begin[at:to], count[at:to])
+            at = to
 
     def of(band, h, root, sketch):
         cut = np.flatnonzero(np.r_[True, band[1:] != band[:-1], True])
@@ -228,6 +238,13 @@ def _pairs(star: bool):
             i, j = low, np.arange(len(h))
             ok = (i != j) & (agreement(sketch[i], sketch[j]) >= LEAST)
             yield h[i[ok]], h[j[ok]]
+            named = np.zeros(len(h), bool)
+            named[i[ok]] = named[j[ok]] = True
+            left = np.flatnonzero(~named)
+            for i, j in expanded(left, low[left], np.repeat(np.diff(cut), np.diff(cut))[left]):
+                ok = (i != j) & (agreement(sketch[i], sketch[j]) >= LEAST)
+                x = distinct(np.concatenate([h[i[ok]], h[j[ok]]]))
+                yield x, x
             return
         o = np.lexsort((h, root, band))
         least = h[low][o]
@@ -237,13 +254,7 @@ def _pairs(star: bool):
         cut = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (root[1:] != root[:-1]), True])
         runs = np.repeat(cut[1:], np.diff(cut))
         left = np.flatnonzero(ends > runs)
-        total = np.cumsum((ends - runs)[left])
-        at = 0
-        while at < len(left):
-            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
-            few = left[at:to]
-            i, j = np.repeat(few, (ends - runs)[few]), ragged(runs[few], (ends - runs)[few])
-            at = to
+        for i, j in expanded(left, runs[left], (ends - runs)[left]):
             ok = (h[i] != least[i]) & (h[j] != least[i])
             i, j = i[ok], j[ok]
             ok = agreement(sketch[i], sketch[j]) >= LEAST
@@ -382,18 +393,19 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     at = rows.filter("band is not null").select("band", "h").join(rows.filter("band is null").select("h", "s0", "s1"), "h")
     at = written(at, "members")
     dropped(rows)
-    nodes = written(at.select("h").distinct(), "lines")
-    bitmap = key_bitmap(nodes, nodes.count())
-    texts = text.mapInArrow(_texts(bitmap), "h bigint, line string, size int, parity binary").join(nodes, "h", "left_semi")
-    texts = written(texts.groupBy("h").agg(*[F.first(c).alias(c) for c in ("line", "size", "parity")]), "texts")
-    dropped(nodes)
 
     def pairs(rows, star):
         rows = rows.select("band", "h", "root", "s0", "s1").repartition(parts, "band").sortWithinPartitions("band")
         return rows.mapInArrow(_pairs(star), "a bigint, b bigint").distinct()
 
-    first = written(_verified(pairs(at.withColumn("root", F.col("h")), True), texts, threshold), "edges")
-    released(spark)
+    near = written(pairs(at.withColumn("root", F.col("h")), True), "near")
+    nodes = written(near.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines")
+    bitmap = key_bitmap(nodes, nodes.count())
+    texts = text.mapInArrow(_texts(bitmap), "h bigint, line string, size int, parity binary").join(nodes, "h", "left_semi")
+    texts = written(texts.groupBy("h").agg(*[F.first(c).alias(c) for c in ("line", "size", "parity")]), "texts")
+    dropped(nodes)
+    first = written(_verified(near.filter("a <> b"), texts, threshold), "edges")
+    dropped(near)
     roots = written(components(first), "roots")
     apart = at.join(roots, at["h"] == roots["id"], "left").select("band", "h", F.coalesce("root", "h").alias("root"), "s0", "s1")
     # a band whose lines are all connected has nothing left to compare
@@ -429,9 +441,10 @@ def _without(batches):
     for b in batches:
         out, total, lost = [], [], []
         for text, gone in zip(b.column(1), b.column(2)):
-            parts, gone = text.as_py().split("\n"), set(gone.as_py() or ())
-            out.append("\n".join(x for n, x in enumerate(parts) if n not in gone))
-            total.append(len(parts))
+            parts, gone = text.as_py(), set(gone.as_py() or ())
+            parts = parts.split("\n") if parts is not None else None
+            out.append(None if parts is None else "\n".join(x for n, x in enumerate(parts) if n not in gone))
+            total.append(None if parts is None else len(parts))
             lost.append(len(gone))
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(total, pa.int32()), pa.array(lost, pa.int32())], ["doc_id", "text", "n_lines", "n_removed"])
 
