@@ -104,18 +104,19 @@ def _pattern_hit(category: str, text: Column):
     return lambda x: hit(category, snippet(x["text"]), R.ADVICE[category], text, x["start"], x["end"], "source")
 
 
-def pattern_hits(text: Column, keep: Column, categories=None) -> Column:
+def pattern_hits(text: Column, keep: Column, categories=None, rules: R.Rules | None = None) -> Column:
     """Hits of the pattern families on a text without code; an expression runs where the text holds one of its needed words."""
     out = []
     low = F.lower(text)
-    for category, family in R.PATTERNS.items():
+    own = (rules.families if rules else None) or {}
+    for category, family in (R.PATTERNS | own).items():
         for short in family if categories is None or category in categories else ():
-            need = R.needs(short)
-            f = T.spans(text, R.pattern(short))
+            need = [] if category in own else R.needs(short)
+            f = T.spans(text, short if category in own else R.pattern(short))
             f = f if category in R.IGNORES_PROTECTED else F.filter(f, lambda x: free(x, keep))
             f = F.transform(f, _pattern_hit(category, text))
             out.append(F.when(low.rlike("|".join(map(R.quoted, need))), f).otherwise(none()) if need else f)
-    return F.flatten(F.array(*out))
+    return F.flatten(F.array(*out)) if out else none()
 
 
 def _dialect_hit(table: Column, text: Column):

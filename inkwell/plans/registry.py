@@ -305,6 +305,9 @@ PHRASE_SQL = f"""(SELECT doc_id, category, phrase, weight, regexp_extract_all(te
     WHERE category NOT IN ('vague_attribution', 'redundancy') AND contains(low, anchor) AND len(regexp_extract_all(text, regex)) > 0)"""
 
 
+_PLAIN = sorted({p.category for p in _R.phrases} - {"vague_attribution", "redundancy"})
+
+
 def _plain(h):
     return ~h["category"].isin("vague_attribution", "redundancy")
 
@@ -509,17 +512,25 @@ def category_mass(spark, sf_dir):
     return x.select("category", F.round("mass", 6).alias("mass"), F.round("share", 6).alias("share"))
 
 
-@query("ablation", f"""WITH d AS (SELECT doc_id, quality = 1 AS label, n FROM (SELECT doc_id, len({TOKENS.format('text')}) AS n FROM {PROBE_SQL}) JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
-    h AS (SELECT doc_id, category, sum(len(found) * weight) AS w FROM {PHRASE_SQL} GROUP BY ALL), c AS (SELECT DISTINCT category FROM h UNION ALL SELECT ''),
-    s AS (SELECT c.category, d.doc_id, label, coalesce(sum(CASE WHEN h.category <> c.category THEN w END), 0) / any_value(n) * 1000 AS score FROM d CROSS JOIN c LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY ALL),
-    a AS (SELECT p.category, {_AUC_SQL} AS auc FROM (SELECT * FROM s WHERE label) p JOIN (SELECT * FROM s WHERE NOT label) n ON p.category = n.category GROUP BY p.category)
-    SELECT category, round(auc, 9) AS auc, round((SELECT auc FROM a WHERE category = '') - auc, 9) AS auc_drop FROM a WHERE category <> ''""")
+_ABLATED = f"""WITH d AS (SELECT doc_id, quality = 1 AS label, n FROM (SELECT doc_id, len({TOKENS.format('text')}) AS n FROM {PROBE_SQL}) JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+    h AS MATERIALIZED (SELECT doc_id, category, sum(len(found) * weight) AS w FROM {PHRASE_SQL} GROUP BY ALL), c AS (SELECT unnest([{', '.join(map(q, _PLAIN))}, '']) AS category),
+    s AS MATERIALIZED (SELECT c.category, d.doc_id, label, round(coalesce(sum(CASE WHEN h.category <> c.category THEN w END), 0) / any_value(n) * 1000, 6) AS score FROM d CROSS JOIN c LEFT JOIN h ON h.doc_id = d.doc_id GROUP BY ALL),
+    a AS (SELECT p.category, {_AUC_SQL} AS auc FROM (SELECT * FROM s WHERE label) p JOIN (SELECT * FROM s WHERE NOT label) n ON p.category = n.category GROUP BY p.category),
+    u AS (SELECT DISTINCT category, score FROM s), t AS (SELECT DISTINCT category, threshold FROM (SELECT category, score AS threshold FROM u UNION ALL SELECT category, floor((score + lead(score) OVER (PARTITION BY category ORDER BY score)) / 2 * 1000 + 0.5) / 1000 FROM u UNION ALL SELECT category, min(score) - 0.1 FROM u GROUP BY category UNION ALL SELECT category, max(score) + 0.1 FROM u GROUP BY category) WHERE threshold >= 0),
+    k AS (SELECT category, threshold, count(*) FILTER (score >= threshold AND label) AS tp, count(*) FILTER (score >= threshold AND NOT label) AS fp, count(*) FILTER (score < threshold AND NOT label) AS tn, count(*) FILTER (score < threshold AND label) AS fn FROM s JOIN t USING (category) GROUP BY ALL),
+    b AS (SELECT category, max_by((tp + tn) / (tp + fp + tn + fn), (CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, -CASE WHEN fp + tn > 0 THEN fp / (fp + tn) ELSE 0 END, (tp + tn) / (tp + fp + tn + fn), -threshold)) AS acc FROM k GROUP BY category),
+    m AS (SELECT category, sum(w * 1000 / n) AS mass FROM h JOIN d USING (doc_id) WHERE label GROUP BY category)"""
+
+
+@query("ablation", f"""{_ABLATED} SELECT category, round(a.auc, 9) AS auc, round((SELECT auc FROM a WHERE category = '') - a.auc, 9) AS auc_drop, b.acc AS best_f1_acc, (SELECT acc FROM b WHERE category = '') - b.acc AS acc_drop, round(coalesce(mass / (SELECT sum(mass) FROM m), 0), 6) AS share
+    FROM a JOIN b USING (category) LEFT JOIN m USING (category) WHERE category <> ''""")
 def ablation(spark, sf_dir):
-    d = _hits(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).alias("words"), F.filter("hits", _plain).alias("hits"))
-    h = d.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.category", analysis.weight_of(F.col("h.category"), _R).alias("weight"))
+    # the analysis is read several times, by AUC and by the sweep: kept as categories
+    d = _hits(spark, sf_dir).select("doc_id", F.size(T.tokens(F.col("text"))).alias("words"), F.transform(F.filter("hits", _plain), lambda h: F.struct(h["category"].alias("category"))).alias("hits")).persist()
+    h = d.select("doc_id", F.explode_outer("hits").alias("h")).filter("h is not null").select("doc_id", "h.category", analysis.weight_of(F.col("h.category"), _R).alias("weight"))
     y = table(spark, sf_dir, "labels").filter("quality is not null").select("doc_id", (F.col("quality") == 1).alias("label"))
-    x = E.ablation(d.select("doc_id", "words").join(y, "doc_id"), h, h.select("category").distinct())
-    return x.select("category", F.round("auc", 9).alias("auc"), F.round("auc_drop", 9).alias("auc_drop"))
+    x = E.ablation(d.select("doc_id", "words").join(y, "doc_id"), h, spark.createDataFrame([(c,) for c in _PLAIN], "category string"))
+    return x.select("category", F.round("auc", 9).alias("auc"), F.round("auc_drop", 9).alias("auc_drop"), "best_f1_acc", "acc_drop", F.round("share", 6).alias("share"))
 
 
 @query("bootstrap_intervals")

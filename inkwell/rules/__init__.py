@@ -138,6 +138,8 @@ class Rules:
     mutes: dict = field(default_factory=lambda: {r: frozenset(v.split()) for r, v in MUTES.items()})
     protected: tuple = EXCEPTIONS
     marker: str = MARKER
+    #: Regular expressions by family, in the JVM's dialect, in place of PATTERNS.
+    families: dict | None = None
 
     def overridden(self, settings: dict) -> Rules:
         """Thresholds and weights merge by key (unknown categories are ignored), bands are replaced, protected terms are added."""
@@ -177,6 +179,41 @@ def load() -> Rules:
     return Rules(tuple(out), dialect)
 
 
+def from_lists(data: dict) -> Rules:
+    """Rules of a project's own patterns: an object with a phrase list for a category (object, list or text), lists of expressions
+    for a pattern family, `protected_terms`, `dialect` and the settings of overridden(). What is missing is as in load()."""
+    base = load()
+    lists = {p.category for p in base.phrases}
+    own = {c: phrase_list(data[c]) for c in lists if c in data}
+    phrases = [p for p in base.phrases if p.category not in own]
+    for c in sorted(own):
+        seen = set()
+        for phrase, suggestion in own[c]:
+            if phrase.lower() not in seen:
+                seen.add(phrase.lower())
+                phrases.append(Phrase(c, phrase, suggestion, phrase_regex(phrase), anchors(phrase)))
+    families = {c: tuple(x for x in data[c] if isinstance(x, str) and x) for c in PATTERNS if isinstance(data.get(c), list)}
+    dialect = data.get("dialect")
+    dialect = {d: {a: b for a, b in w.items() if isinstance(b, str)} for d, w in dialect.items() if isinstance(w, dict)} if isinstance(dialect, dict) else base.dialect
+    return replace(base, phrases=tuple(phrases), dialect=dialect, families=families or None).overridden(data)
+
+
+def find_settings(start: str, name: str = ".inkwellrc") -> dict | None:
+    """The settings of the nearest file of that name in the folder of start or above; None without one, or where it isn't an object."""
+    at = os.path.abspath(start)
+    at = at if os.path.isdir(at) else os.path.dirname(at)
+    while True:
+        path = os.path.join(at, name)
+        if os.path.isfile(path):
+            try:
+                return read_settings(path)
+            except (OSError, ValueError):
+                return None
+        if os.path.dirname(at) == at:
+            return None
+        at = os.path.dirname(at)
+
+
 def read_settings(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
         value = json.load(f)
