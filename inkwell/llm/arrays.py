@@ -41,7 +41,7 @@ def trim() -> None:
         pass
 
 
-def slices(batch: pa.RecordBatch, text: int, max_bytes: int = 1 << 20, max_rows: int = 4096):
+def slices(batch: pa.RecordBatch, text: int, max_bytes: int = 1 << 19, max_rows: int = 4096):
     """Cuts a batch into pieces of about max_bytes of text; a longer text stands alone."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), np.int64)
     ends = np.cumsum(sizes)

@@ -420,6 +420,7 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     dropped(profile)
     rows = docs.select("text").mapInArrow(_prefixes(n, threshold, order), "cls bigint, size int, prefix binary, keys array<bigint>, parity binary")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "prefixes")
+    order.unpersist()
     groups = written(_groups(rows, parts, threshold), "groups")
     once = rows.groupBy("cls").agg(*[F.first(c).alias(c) for c in ("row", "size", "prefix")])
     found = once.join(groups, once["cls"] == groups["id"], "left").select("row", "size", F.coalesce("root", F.lit(0)).alias("root"), "prefix")
@@ -443,6 +444,7 @@ def similar_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     sets = sets.select("root", "cls", "grams", F.explode(pairs).alias("p")).select("root", "p.i", "p.j", "p.side", "cls", "grams")
     sets = sets.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     checked = written(sets.mapInArrow(_verify(threshold), "cls bigint, root bigint, links bigint"), "checked")
+    bitmap.unpersist()
     dropped(wanted)
     roots = components(checked.select(F.col("cls").alias("a"), F.col("root").alias("b")))
     links = checked.groupBy("cls").agg(F.sum("links").alias("links")).filter("links > 0")
