@@ -134,12 +134,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED):
                 cut = np.r_[np.searchsorted(row, np.arange(part.num_rows)), len(row)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), pa.array([col[a:z].astype("<i4").tobytes() for a, z in zip(cut, cut[1:])], pa.binary()), pa.array([val[a:z].tobytes() for a, z in zip(cut, cut[1:])], pa.binary())], ["doc_id", "y", "col", "val"])
 
-    # bounded by most
-    got = _columns(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "source", F.col("y").cast("int")).mapInArrow(extract, "doc_id bigint, y int, col binary, val binary").collect()
-    one = {}
-    for r in sorted(got, key=lambda r: (r["doc_id"], bytes(r["col"]), bytes(r["val"]))):
-        one.setdefault(r["doc_id"], r)
-    rows = list(one.values())
+    # one text for each doc_id, however often it stands in the table: bounded by most
+    got = _columns(docs).join(F.broadcast(some), "doc_id").select("doc_id", "text", "lang", "source", F.col("y").cast("int")).mapInArrow(extract, "doc_id bigint, y int, col binary, val binary")
+    got = got.groupBy("doc_id").agg(F.min(F.struct("col", "val", "y")).alias("r")).select("doc_id", "r.*")
+    rows = sorted(got.collect(), key=lambda r: r["doc_id"])
     y = np.array([r["y"] for r in rows], np.float32)
     if not len(y) or y.min() == y.max():
         return None
