@@ -461,31 +461,6 @@ def test_quotes_are_linked(spark):
     assert out[2]["messages"][0]["role"] == "unknown" and out[3]["messages"][0]["text"] == "" and quotes.linked_conversations(d.limit(0)).count() == 0
 
 
-def test_pipeline_equals_its_stages(spark):
-    import corpus_pipeline as P
-
-    sf = "/root/testdata/sf0.001"
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    labels, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark"))
-    kept = quality.accepted(d, labels).toPandas()
-    sets = {i: grams(t) for i, t in zip(kept["doc_id"], kept["text"]) if t and grams(t)}
-    root = {i: i for i in sets}
-    find = lambda x: x if root[x] == x else find(root[x])
-    ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
-            if len(sets[a] & sets[b]) >= 0.65 * len(sets[a] | sets[b]) - 1e-9:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    one = {i for i in kept["doc_id"] if find(i) == i} if set(kept["doc_id"]) == set(sets) else {i for i in kept["doc_id"] if i not in sets or find(i) == i}
-    leaked = {r["doc_id"] for r in decontaminate.leaks(d, bench).collect()}
-    out = P.run(spark, sf).collect()
-    assert {r["doc_id"] for r in out} <= one - leaked
-    mixed = {r["doc_id"] for r in mixing.curriculum(d.filter(F.col("doc_id").isin([int(i) for i in one - leaked]))).collect()}
-    assert {r["doc_id"] for r in out} == mixed
-    assert [n for n, _ in P.STAGES] == ["quality classifier", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights", "token-ID / binary output"]
-
-
 def test_lines_near_the_threshold_in_large_groups(spark):
     """Groups of edited copies, some on either side of the threshold: one line of each component stays."""
     r = random.Random(12)
