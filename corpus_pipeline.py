@@ -3,6 +3,13 @@
 quality classifier -> n-gram Jaccard join -> benchmark decontamination -> mixing sources to target weights -> token ids.
 All stages but the last return the columns of documents; the last returns doc_id, n_tokens, control, data,
 position (0, 1, 2 and so on in training order) and, in one row, token_by_rank, with which all rows are decoded.
+
+Defined cases: an empty table stays empty in every stage. Rows with a null doc_id are classified, never joined and never taken
+for leaks. A null or empty text has no words: it is classified by its other features, is like no other text, leaks nothing,
+takes the training position at which it stands and has no tokens. Repeated rows of a similar group become one; repeated rows
+without words all stay. A doc_id on unlike texts is decided by text. Ties in the training order go by doc_id. Long texts are
+whole in every stage. Other columns are carried to the last stage, whatever their names; what the stages add takes the place
+of any of the same name there.
 """
 
 from __future__ import annotations
