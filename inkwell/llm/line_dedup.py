@@ -33,7 +33,7 @@ from .shared import dropped, key_bitmap, may_hold, only, ready, written
 K, BANDS, ROWS, THRESHOLD = 5, 12, 5, 0.8
 LEAST, BAND_BITS = 40, 44
 #: Rows that a task packs at once; pairs that it compares at once.
-PACKED, STEP = 1_000_000, 1 << 20
+PACKED, STEP = 1_000_000, 1 << 18
 _SPACE = np.zeros(0x3001, bool)
 _SPACE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 

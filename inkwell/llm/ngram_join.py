@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ _MASK = np.uint64((1 << HASH_BITS) - 1)
 #: Min-wise grams of a class.
 KEYS = 16
 #: Prefix rows that a task packs at once, candidate rows that it holds before it sums them, pairs that it makes at once.
-PACKED, HELD, STEP = 1_000_000, 500_000, 1 << 20
+PACKED, HELD, STEP = 1_000_000, 500_000, 1 << 18
 #: Classes and grams of a block, about.
 BLOCK_DOCS, BLOCK_GRAMS = 1024, 2_000_000
 
@@ -469,11 +470,13 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> D
     return members.join(each, "cls").select("doc_id", "class", "copies", "links")
 
 
-def _with_class(n: int, at: int, text: int):
-    """Rows with _cls, their class, and _stay: whether they have no doc_id or no words (_cls then only spreads them)."""
+def _with_class(n: int, at: int, text: int, bitmap):
+    """The rows whose doc_id the bitmap may hold with _cls, their class, and _stay: whether they have no words (_cls then only spreads
+    them)."""
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(_held(batch.column(at), bitmap))
             for part in slices(batch, text):
                 row, g = _grams(part.column(text), n, None)
                 size, sh = _set_hash(row, g, part.num_rows)
@@ -484,14 +487,16 @@ def _with_class(n: int, at: int, text: int):
     return run
 
 
-def _side(at: int, bitmap, inside: bool):
-    """The rows whose doc_id the bitmap may hold, or the others."""
+def _held(ids: pa.Array, bitmap) -> pa.Array:
+    return pa.array(may_hold(bitmap.value, np.asarray(ids.fill_null(0))) & ~np.asarray(ids.is_null()))
+
+
+def _clear(at: int, bitmap):
+    """The rows whose doc_id the bitmap doesn't hold."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(at)
-            has = may_hold(bitmap.value, np.asarray(ids.fill_null(0))) & ~np.asarray(ids.is_null())
-            yield batch.filter(pa.array(has if inside else ~has))
+            yield batch.filter(pc.invert(_held(batch.column(at), bitmap)))
 
     return run
 
@@ -512,8 +517,8 @@ def one_of_each(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> Da
     bitmap = key_bitmap(lose, lose.count())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     where = docs.columns.index("doc_id")
-    clear = docs.mapInArrow(_side(where, bitmap, False), schema)
-    rows = docs.mapInArrow(_side(where, bitmap, True), schema).mapInArrow(_with_class(n, where, docs.columns.index("text")), schema + ", _cls bigint, _stay boolean")
+    clear = docs.mapInArrow(_clear(where, bitmap), schema)
+    rows = docs.mapInArrow(_with_class(n, where, docs.columns.index("text"), bitmap), schema + ", _cls bigint, _stay boolean")
     rows = rows.join(fate.filter("_kept"), (F.col("doc_id") == F.col("_id")) & (F.col("_cls") == F.col("_of")), "left").filter("_stay or _kept")
     order = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id", "_cls").orderBy(*order)))
