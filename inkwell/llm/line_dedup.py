@@ -311,22 +311,31 @@ def parities(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, lis
 
 
 def _texts(wanted):
-    """(h, line, size, parity) of the lines that the bitmap may hold; of their shingles' 32-bit hashes."""
+    """One pass over (doc_id, doc_hash, text): (h, line, size, parity) of the lines that the bitmap may hold, once a slice, of their
+    shingles' 32-bit hashes; and (h, doc_id, doc_hash, line_no) of every line."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 0):
-                c, s, e, _, _ = lines(part.column(0))
-                h, one = np.unique(span_hash(c, s, e).view(np.int64), return_index=True)
+            for part in slices(batch, 2):
+                c, s, e, row, number = lines(part.column(2))
+                every = span_hash(c, s, e).view(np.int64)
+                h, one = np.unique(every, return_index=True)
                 ok = may_hold(wanted.value, h)
                 h, one = h[ok], one[ok]
                 n = np.maximum(e[one] - s[one] - K + 1, 0)
                 size, bits = parities(shingle_hash(c)[ragged(s[one], n)], np.repeat(np.arange(len(one)), n), len(one))
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([c[s[i] : e[i]].tobytes().decode("utf-32-le") for i in one], pa.string()), pa.array(size, pa.int32()), pa.array(bits, pa.binary())], ["h", "line", "size", "parity"])
+                k, m = len(one), len(every)
+                line = pa.array([c[s[i] : e[i]].tobytes().decode("utf-32-le") for i in one], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(h), line, pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], _NAMES)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(every), pa.nulls(m, pa.string()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32())], _NAMES)
 
     return run
 
 
+_NAMES = ["h", "line", "size", "parity", "doc_id", "doc_hash", "line_no"]
+
+
 def _may_be_similar(t: float):
     """Pairs whose parity bitmaps allow the overlap; hashes of n shingles may fall together a few times, more so in long lines."""
 
@@ -383,8 +392,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
     return with_both(pairs, "line").mapInArrow(_verify(t), "a bigint, b bigint")
 
 
-def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, root): the hashes of lines that are similar to others, and of their component's least."""
+def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """(id, root): the hashes of lines that are similar to others, and of their component's least; and a table with the places of all
+    lines, (h, doc_id, doc_hash, line_no), where line_no isn't null."""
     spark = ready(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = only(docs, "text").filter("text is not null")
@@ -401,7 +411,9 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     near = written(pairs(at.withColumn("root", F.col("h")), True), "near")
     nodes = written(near.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines")
     bitmap = key_bitmap(nodes, nodes.count())
-    texts = text.mapInArrow(_texts(bitmap), "h bigint, line string, size int, parity binary").join(nodes, "h", "left_semi")
+    keyed = only(docs, "doc_id", "text").filter("text is not null").select("doc_id", F.xxhash64("text").alias("doc_hash"), "text")
+    found = written(keyed.mapInArrow(_texts(bitmap), "h bigint, line string, size int, parity binary, doc_id bigint, doc_hash bigint, line_no int"), "places")
+    texts = found.filter("line is not null").select("h", "line", "size", "parity").join(nodes, "h", "left_semi")
     texts = written(texts.groupBy("h").agg(*[F.first(c).alias(c) for c in ("line", "size", "parity")]), "texts")
     dropped(nodes)
     first = written(_verified(near.filter("a <> b"), texts, threshold), "edges")
@@ -413,16 +425,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dropped(at, texts, roots)
     out = written(components(first.unionByName(second)), "roots")
     dropped(first, second)
-    return out
-
-
-def _positions(batches):
-    """Each line's hash, with its document."""
-    for batch in batches:
-        for part in slices(batch, 2):
-            c, s, e, row, number = lines(part.column(2))
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(span_hash(c, s, e).view(np.int64)), part.column(0).take(at), part.column(1).take(at), pa.array(number, pa.int32())], ["h", "doc_id", "doc_hash", "line_no"])
+    return out, found
 
 
 def _side(bitmap, inside: bool):
@@ -453,11 +456,12 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text, n_lines, n_removed): docs without the lines that repeat, exactly or nearly, an earlier one.
 
     Only documents that lose lines (a bitmap, with an exact join behind it) are shuffled."""
-    roots = similar_lines(docs, threshold)
+    roots, places = similar_lines(docs, threshold)
     keyed = only(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("doc_hash"), "text")
-    where = keyed.filter("text is not null").mapInArrow(_positions, "h bigint, doc_id bigint, doc_hash bigint, line_no int")
     place = F.struct("doc_id", "doc_hash", "line_no")
+    where = places.filter("line_no is not null").select("h", "doc_id", "doc_hash", "line_no")
     where = written(where.join(roots.withColumnRenamed("id", "h"), "h", "left").select(F.coalesce("root", "h").alias("node"), "doc_id", "doc_hash", "line_no"), "places")
+    dropped(places)
     first = where.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     gone = where.join(first, "node").filter(~place.eqNullSafe(F.col("first"))).groupBy("doc_id", "doc_hash").agg(F.collect_set("line_no").alias("gone"))
     gone = written(gone, "gone")
