@@ -67,11 +67,10 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def codes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all texts and the n + 1 offsets."""
     raw, off = utf8(col)
-    out = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    out = np.frombuffer(str(memoryview(raw), "utf-8").encode("utf-32-le"), np.uint32)
     if len(out) == len(raw):
         return out, off
-    seen = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
-    return out, seen[off]
+    return out, np.r_[0, np.cumsum(np.asarray(pc.utf8_length(pc.fill_null(col, ""))), dtype=np.int64)]
 
 
 def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = R) -> np.ndarray:
@@ -79,7 +78,11 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     inv = pow(base, -1, 1 << 64)
     n = len(values)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((values.astype(np.uint64) + np.uint64(1)) * powers(base, n), out=total[1:])
+    x = total[1:]
+    x[:] = values
+    x += np.uint64(1)
+    x *= powers(base, n)
+    np.cumsum(x, out=x)
     h = (total[end] - total[start]) * powers(inv, n + 1)[start]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)

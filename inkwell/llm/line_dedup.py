@@ -20,6 +20,7 @@ rows; other columns are ignored whatever their names.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -34,6 +35,8 @@ K, BANDS, ROWS, THRESHOLD = 5, 12, 5, 0.8
 LEAST, BAND_BITS = 40, 44
 #: Rows that a task packs at once; pairs that it compares at once.
 PACKED, STEP = 1_000_000, 1 << 18
+#: Shingles that are multiplied at once.
+SHINGLES = 1 << 17
 _SPACE = np.zeros(0x3001, bool)
 _SPACE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
 
@@ -41,32 +44,27 @@ _SPACE[[*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B
 def lines(col: pa.Array):
     """Normalised lines: code points (with line feeds), start, end, row and number of each line that isn't blank."""
     c, off = codes(pc.utf8_lower(pc.fill_null(col, "")))
-    feed = c == 10
-    gap = c <= 32
-    gap &= ~feed
-    odd = np.flatnonzero((c > 127) & (c <= 0x3000)) if len(c) and c.max() > 127 else None
-    few = np.flatnonzero(gap)
-    if len(few):
-        gap[few] = _SPACE[c[few]]
-    if odd is not None:
-        gap[odd] = _SPACE[c[odd]]
-    few = np.flatnonzero(gap)
+    # the places of white space, line feeds among it
+    few = np.flatnonzero((c <= 32) | (c - np.uint32(0x85) <= 0x3000 - 0x85))
+    few = few[_SPACE[c[few]]]
+    kind = c[few]
+    feed = kind == 10
     begins = np.zeros(len(c) + 1, bool)
     begins[off] = True
     # white space goes where white space or a line's start is before it; what then ends a line is trimmed below
-    drop = few[(few == 0) | gap[few - 1] | feed[few - 1] | begins[few]]
-    if len(few):
+    drop = few[~feed & ((np.diff(few, prepend=-1) == 1) | begins[few])]
+    odd = few[~feed & (kind != 32)]
+    feeds = few[feed]
+    if len(odd):
         c = c.copy()
-        c[few] = 32
+        c[odd] = 32
     if len(drop):
         keep = np.ones(len(c), bool)
         keep[drop] = False
         off = off - np.searchsorted(drop, off)
-        c, feed = c[keep], feed[keep]
-    cut = np.zeros(len(c) + 1, bool)
-    cut[np.flatnonzero(feed) + 1] = True
-    cut[off] = True
-    start = np.flatnonzero(cut)
+        feeds = feeds - np.searchsorted(drop, feeds)
+        c = c[keep]
+    start = distinct(np.concatenate([feeds + 1, off]))
     start = start[start < len(c)]
     if not len(start):
         return c, *[np.zeros(0, np.int64)] * 4
@@ -74,7 +72,7 @@ def lines(col: pa.Array):
     row = np.searchsorted(off, start, "right") - 1
     first = np.searchsorted(start, off[:-1])
     number = np.arange(len(start)) - first[row]
-    end = end - feed[end - 1]
+    end = end - (c[end - 1] == 10)
     end = end - ((end > start) & (c[np.maximum(end - 1, 0)] == 32))
     some = end > start
     return c, start[some], end[some], row[some], number[some]
@@ -113,27 +111,29 @@ def signatures(c: np.ndarray, start: np.ndarray, end: np.ndarray, k: int = K) ->
         sketch[short, 0] = x >> np.uint64(4)
     idx = np.flatnonzero(~short)
     sig = np.zeros((BANDS * ROWS, len(idx)), np.uint32)
-    begin, stop = start[idx], end[idx] - k + 1
+    begin, many = start[idx], size[idx] - k + 1
+    total = np.cumsum(many)
     at = 0
     while at < len(idx):
-        to = max(at + 1, int(np.searchsorted(begin, begin[at] + 30_000)))
-        x = h[begin[at] : stop[to - 1]]
-        cuts = (np.stack([begin[at:to], stop[at:to]], 1) - begin[at]).reshape(-1)[:-1]
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SHINGLES, "right")))
+        x = h[ragged(begin[at:to], many[at:to])]
+        cuts = total[at:to] - many[at:to] - (total[at - 1] if at else 0)
         y = np.empty_like(x)
         for p, m in enumerate(_MULT):
             np.multiply(x, m, out=y)
-            sig[2 * p, at:to] = np.minimum.reduceat(y, cuts)[::2]
-            sig[2 * p + 1, at:to] = np.maximum.reduceat(y, cuts)[::2]
+            np.minimum.reduceat(y, cuts, out=sig[2 * p, at:to])
+            np.maximum.reduceat(y, cuts, out=sig[2 * p + 1, at:to])
         at = to
-    for b in range(BANDS):
-        x = np.full(len(idx), b + 1, np.uint64)
-        for r in range(ROWS):
-            x = (x ^ sig[b * ROWS + r]) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-        out[idx, b] = x
+    x = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(idx), axis=1)
+    for r in range(ROWS):
+        x = (x ^ sig[r::ROWS]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    out[idx] = x.T
+    two = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64)
     for p in range(BANDS * ROWS):
-        two = ((sig[p] * np.uint32(0x9E3779B1)) >> np.uint32(30)).astype(np.uint64)
-        sketch[idx, p % 2] |= two << np.uint64(p // 2 * 2)
+        two[p] <<= np.uint64(p // 2 * 2)
+    for p in range(2):
+        sketch[idx, p] = np.bitwise_or.reduce(two[p::2], axis=0)
     return out >> np.uint64(64 - BAND_BITS), sketch
 
 
@@ -143,9 +143,20 @@ def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return BANDS * ROWS - np.bitwise_count((t | (t >> np.uint64(1))) & np.uint64(0x5555555555555555)).sum(axis=-1, dtype=np.int64)
 
 
+def _once(h: np.ndarray, often: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes in order, a place of each, and whether it is there twice, or repeats as `often` has it."""
+    o = np.argsort(h, kind="stable")
+    h = h[o]
+    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+    twice = np.diff(new, append=len(h)) > 1
+    if often is not None and len(new):
+        twice |= np.bitwise_or.reduceat(often[o].astype(bool), new)
+    return h[new], o[new], twice
+
+
 def _bands(parts: int):
-    """Packed bands, with their lines, by part of the band's hash; and packed sketches of lines by part of the line's hash (parts
-    from `parts` on)."""
+    """Packed bands, with their lines, by part of the band's hash; and packed sketches of lines, and whether they repeat, by part of
+    the line's hash (parts from `parts` on)."""
 
     def split(at, part, cols):
         o = np.lexsort((at, part))
@@ -156,12 +167,12 @@ def _bands(parts: int):
             yield int(part[a]), packed(np.diff(at[a:z], prepend=np.uint64(0)), *[x[a:z] for x in cols])
 
     def flush(held):
-        h, band, sketch = (np.concatenate(x) for x in zip(*held))
-        h, one = np.unique(h, return_index=True)
+        h, often, band, sketch = (np.concatenate(x) for x in zip(*held))
+        h, one, often = _once(h, often)
         band, sketch = band[one], sketch[one]
         b = np.ascontiguousarray(band.T).reshape(-1)
         n = np.uint64(parts)
-        out = [*split(b // n, (b % n).astype(np.int64), [np.tile(h, BANDS)]), *((k + parts, x) for k, x in split(h // n, (h % n).astype(np.int64), [sketch[:, 0], sketch[:, 1]]))]
+        out = [*split(b // n, (b % n).astype(np.int64), [np.tile(h, BANDS)]), *((k + parts, x) for k, x in split(h // n, (h % n).astype(np.int64), [sketch[:, 0], sketch[:, 1], often]))]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "rows"])
 
     def run(batches):
@@ -169,11 +180,11 @@ def _bands(parts: int):
         for batch in batches:
             for part in slices(batch, 0):
                 c, s, e, _, _ = lines(part.column(0))
-                h, one = np.unique(span_hash(c, s, e), return_index=True)
+                h, one, often = _once(span_hash(c, s, e))
                 if len(one):
-                    one = np.sort(one)
-                    s, e = s[one], e[one]
-                    held.append((span_hash(c, s, e), *signatures(c, s, e)))
+                    o = np.argsort(one)
+                    s, e = s[one[o]], e[one[o]]
+                    held.append((h[o], often[o], *signatures(c, s, e)))
                     n += len(one)
                 if n * BANDS > PACKED:
                     yield flush(held)
@@ -187,7 +198,8 @@ def _bands(parts: int):
 
 
 def _buckets(parts: int):
-    """(band, h, null, null) for the lines of bands with two lines or more; (null, h, s0, s1), the sketches of all lines."""
+    """(band, h, null, null, null) for the lines of bands with two lines or more; (null, h, s0, s1, often), the sketches of all lines
+    and whether they are there more than once."""
 
     def run(batches):
         got: dict[int, list] = {}
@@ -199,9 +211,9 @@ def _buckets(parts: int):
             at = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in read])
             cols = [np.concatenate([x[i] for x in read]) for i in range(1, len(read[0]))]
             if k >= parts:
-                at, one = np.unique(at, return_index=True)
+                at, one, often = _once(at, cols.pop())
                 h = at * np.uint64(parts) + np.uint64(k - parts)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), *[pa.array(x[one].view(np.int64)) for x in cols]], ["band", "h", "s0", "s1"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(h), pa.int64()), pa.array(h.view(np.int64)), *[pa.array(x[one].view(np.int64)) for x in cols], pa.array(often)], ["band", "h", "s0", "s1", "often"])
                 continue
             h = cols[0].view(np.int64)
             o = np.lexsort((h, at))
@@ -211,7 +223,7 @@ def _buckets(parts: int):
             first = np.r_[True, at[1:] != at[:-1], True]
             many = ~(first[:-1] & first[1:])
             n = int(many.sum())
-            yield pa.RecordBatch.from_arrays([pa.array((at[many] * np.uint64(parts) + np.uint64(k)).view(np.int64)), pa.array(h[many]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["band", "h", "s0", "s1"])
+            yield pa.RecordBatch.from_arrays([pa.array((at[many] * np.uint64(parts) + np.uint64(k)).view(np.int64)), pa.array(h[many]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_())], ["band", "h", "s0", "s1", "often"])
         trim()
 
     return run
@@ -310,20 +322,23 @@ def parities(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, lis
     return size, out
 
 
-def _texts(wanted):
-    """One pass over (doc_id, doc_hash, text): (h, line, size, parity) of the lines that the bitmap may hold, once a slice, of their
-    shingles' 32-bit hashes; and (h, doc_id, doc_hash, line_no) of every line."""
+def _texts(wanted, often):
+    """One pass over (doc_id, doc_hash, text): (h, line, size, parity) of the lines that the bitmap `wanted` may hold, once a slice, of
+    their shingles' 32-bit hashes; and (h, doc_id, doc_hash, line_no) of every line that either bitmap may hold."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, 2):
                 c, s, e, row, number = lines(part.column(2))
                 every = span_hash(c, s, e).view(np.int64)
-                h, one = np.unique(every, return_index=True)
-                ok = may_hold(wanted.value, h)
-                h, one = h[ok], one[ok]
+                ok = may_hold(wanted.value, every)
+                keep = np.flatnonzero(ok | may_hold(often.value, every))
+                some = np.flatnonzero(ok)
+                h, one, _ = _once(every[some])
+                one = some[one]
                 n = np.maximum(e[one] - s[one] - K + 1, 0)
                 size, bits = parities(shingle_hash(c)[ragged(s[one], n)], np.repeat(np.arange(len(one)), n), len(one))
+                every, row, number = every[keep], row[keep], number[keep]
                 k, m = len(one), len(every)
                 line = pa.array([c[s[i] : e[i]].tobytes().decode("utf-32-le") for i in one], pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(h), line, pa.array(size, pa.int32()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())], _NAMES)
@@ -394,12 +409,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
 
 def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(id, root): the hashes of lines that are similar to others, and of their component's least; and a table with the places of all
-    lines, (h, doc_id, doc_hash, line_no), where line_no isn't null."""
+    lines that repeat or may be similar to others, and of few more, (h, doc_id, doc_hash, line_no), where line_no isn't null."""
     spark = ready(docs.sparkSession)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = only(docs, "text").filter("text is not null")
-    rows = text.mapInArrow(_bands(2 * parts), "part int, rows binary").repartition(parts, "part").mapInArrow(_buckets(2 * parts), "band bigint, h bigint, s0 bigint, s1 bigint")
+    rows = text.mapInArrow(_bands(2 * parts), "part int, rows binary").repartition(parts, "part").mapInArrow(_buckets(2 * parts), "band bigint, h bigint, s0 bigint, s1 bigint, often boolean")
     rows = written(rows, "buckets")
+    often = rows.filter("often").select("h")
+    often = key_bitmap(often, often.count())
     at = rows.filter("band is not null").select("band", "h").join(rows.filter("band is null").select("h", "s0", "s1"), "h")
     at = written(at, "members")
     dropped(rows)
@@ -412,7 +429,7 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     nodes = written(near.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "lines")
     bitmap = key_bitmap(nodes, nodes.count())
     keyed = only(docs, "doc_id", "text").filter("text is not null").select("doc_id", F.xxhash64("text").alias("doc_hash"), "text")
-    found = written(keyed.mapInArrow(_texts(bitmap), "h bigint, line string, size int, parity binary, doc_id bigint, doc_hash bigint, line_no int"), "places")
+    found = written(keyed.mapInArrow(_texts(bitmap, often), "h bigint, line string, size int, parity binary, doc_id bigint, doc_hash bigint, line_no int"), "places")
     texts = found.filter("line is not null").select("h", "line", "size", "parity").join(nodes, "h", "left_semi")
     texts = written(texts.groupBy("h").agg(*[F.first(c).alias(c) for c in ("line", "size", "parity")]), "texts")
     dropped(nodes)
@@ -428,15 +445,14 @@ def similar_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFr
     return out, found
 
 
-def _side(bitmap, inside: bool):
-    """The documents whose text's hash, the second column, the bitmap may hold, or the others."""
+def _held(bitmap):
+    """Whether the bitmap may hold a text's hash. Only hashes go to Python, not the texts."""
 
-    def run(batches):
-        for b in batches:
-            has = may_hold(bitmap.value, np.asarray(b.column(1)))
-            yield b.filter(pa.array(has if inside else ~has))
+    @F.pandas_udf("boolean")
+    def held(key: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(bitmap.value, key.to_numpy()))
 
-    return run
+    return held
 
 
 def _without(batches):
@@ -468,7 +484,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     dropped(where, roots)
     lose = gone.select("doc_hash").distinct()
     bitmap = key_bitmap(lose, lose.count())
-    schema = "doc_id bigint, doc_hash bigint, text string"
-    clear = keyed.mapInArrow(_side(bitmap, False), schema).select("doc_id", "text", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.lit(0).alias("n_removed"))
-    rest = keyed.mapInArrow(_side(bitmap, True), schema).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.doc_hash") == F.col("g.doc_hash")), "left")
+    held = _held(bitmap)
+    clear = keyed.filter(~held("doc_hash")).select("doc_id", "text", (F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("n_lines"), F.lit(0).alias("n_removed"))
+    rest = keyed.filter(held("doc_hash")).alias("d").join(gone.alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("d.doc_hash") == F.col("g.doc_hash")), "left")
     return clear.unionByName(rest.select("d.doc_id", "d.text", "g.gone").mapInArrow(_without, "doc_id bigint, text string, n_lines int, n_removed int"))

@@ -166,6 +166,39 @@ def test_line_dedup_equals_brute_force(spark):
     assert len(out) == len(rows) and line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_carries_no_places_of_lone_lines(spark):
+    """Only lines that repeat or may be similar to others have places: repeats in one text, one partition or far apart, and near copies."""
+    rows = [(i, "\n".join(words(12, 1000 * i + k) for k in range(20))) for i in range(20)]
+    twice, apart, near = words(12, 90_001), words(12, 90_002), words(30, 90_003)
+    rows[2] = (2, rows[2][1] + f"\n{twice}\n{twice}")
+    rows[4] = (4, rows[4][1] + f"\n{near}")
+    rows[5], rows[19] = (5, rows[5][1] + f"\n{apart}"), (19, f"{apart} \n{near}x\n" + rows[19][1])
+    table = docs(spark, rows).repartitionByRange(5, "doc_id")
+    _, places = line_dedup.similar_lines(table)
+    held = [(r["doc_id"], r["line_no"]) for r in places.filter("line_no is not null").collect()]
+    assert {(2, 20), (2, 21), (5, 20), (19, 0), (4, 20), (19, 1)} <= set(held) and len(held) < 100
+    want = dict(rows) | {2: rows[2][1].rpartition("\n")[0], 19: "\n".join(rows[19][1].split("\n")[2:])}
+    got = line_dedup.dedup_lines(table).collect()
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == {i: (x.count("\n") + 1, {2: 1, 19: 2}.get(i, 0)) for i, x in rows}
+
+
+def test_repeated_lines_are_marked_wherever_they_repeat(monkeypatch):
+    """In a slice, in a later slice that is packed with it or after it, and in another task."""
+    monkeypatch.setattr(line_dedup, "PACKED", 50 * line_dedup.BANDS)
+    lone = iter(words(12, 5000 + k) for k in range(1000))
+    batch = lambda *x: pa.record_batch([pa.array(["\n".join([*x, *[next(lone) for _ in range(30)]])])], ["text"])
+    tasks = [[batch("in one", "in one"), batch("held"), batch("held"), batch("packed"), batch("lone"), batch("packed")], [batch("far")], [batch("far")]]
+    tasks[0].insert(1, batch("held too"))
+    tasks[0].insert(2, batch("held too"))
+    got = pa.Table.from_batches([b for t in tasks for b in line_dedup._bands(4)(t)])
+    out = pa.Table.from_batches([b for k in range(8) for b in line_dedup._buckets(4)(got.filter(pa.compute.equal(got["part"], k)).to_batches()) if b.schema.names[-1] == "often"])
+    marked = {r["h"]: r["often"] for r in out.to_pylist() if r["band"] is None}
+    c, s, e, _, number = line_dedup.lines(pa.array(["in one\nheld\nheld too\npacked\nfar\nlone"]))
+    assert [marked[h] for h in line_dedup.span_hash(c, s, e).view(np.int64).tolist()] == [True] * 5 + [False]
+    assert sum(marked.values()) == 5 and len(marked) == 6 + 30 * sum(map(len, tasks))
+
+
 def test_token_ids_round_trip(spark):
     texts = ["Hello world, it's 2024!", "", None, "naïve café 日本語 \U0001f600  two  spaces\n\nlines ", "a" * 5000, "Hello world, it's 2024!", "don't"]
     enc, ranks = token_output.encode(docs(spark, list(enumerate(texts))).withColumn("ids", F.lit(0)))
