@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import codes, distinct, most_common, packed, ragged, slices, span_hash, trim, unpacked
+from .arrays import codes, distinct, packed, ragged, slices, span_hash, trim, unpacked
 from .components import components
 from .decontaminate import gram_hash
 from .shared import dropped, key_bitmap, may_hold, only, ready, written
@@ -351,6 +351,23 @@ def _texts(wanted, often):
 _NAMES = ["h", "line", "size", "parity", "doc_id", "doc_hash", "line_no"]
 
 
+def odd_ones(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """In how many buckets the parity bitmaps x[i] and y[i] differ; the longer is folded to the shorter."""
+    out = np.zeros(len(x), np.int64)
+    p, q = (np.asarray(pc.binary_length(c)).astype(np.int64) for c in (x, y))
+    for key in np.unique(p << 32 | q):
+        some = np.flatnonzero((p << 32 | q) == key)
+        at = pa.array(some)
+        a, b = (np.frombuffer(b"".join(c.take(at).to_pylist()), np.uint64).reshape(len(some), -1) for c in (x, y))
+        while a.shape[1] != b.shape[1]:
+            if a.shape[1] < b.shape[1]:
+                a, b = b, a
+            half = a.shape[1] // 2
+            a = a[:, :half] ^ a[:, half:]
+        out[some] = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _may_be_similar(t: float):
     """Pairs whose parity bitmaps allow the overlap; hashes of n shingles may fall together a few times, more so in long lines."""
 
@@ -358,8 +375,7 @@ def _may_be_similar(t: float):
         for b in batches:
             n, m = (np.asarray(b.column(k)).astype(np.int64) for k in (2, 3))
             need = np.ceil(t / (1 + t) * (n + m) - 1e-9) - 2 - np.maximum(n, m).astype(float) ** 2 / 2**31
-            ok = [most_common(i, j, x, y) >= k for i, j, k, x, y in zip(n.tolist(), m.tolist(), need.tolist(), b.column(4).to_pylist(), b.column(5).to_pylist())]
-            yield b.select([0, 1]).filter(pa.array(ok, pa.bool_()) if ok else pa.array([], pa.bool_()))
+            yield b.select([0, 1]).filter(pa.array((n + m - odd_ones(b.column(4), b.column(5))) // 2 >= need))
 
     return run
 

@@ -183,6 +183,15 @@ def test_line_dedup_carries_no_places_of_lone_lines(spark):
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == {i: (x.count("\n") + 1, {2: 1, 19: 2}.get(i, 0)) for i, x in rows}
 
 
+def test_parity_bitmaps_of_many_pairs_at_once():
+    """The bounds of a batch are those of each pair, whatever the lengths; batches without rows and sliced ones too."""
+    r = random.Random(21)
+    bits = lambda: pa.array([r.randbytes(r.choice((8, 8, 16, 32, 128, 1024))) for _ in range(300)], pa.binary())
+    for x, y in ((bits(), bits()), (bits().slice(7, 90), bits().slice(11, 90)), (bits().slice(0, 0), bits().slice(0, 0))):
+        odd = line_dedup.odd_ones(x, y)
+        assert [(5000 - k) // 2 for k in odd.tolist()] == [arrays.most_common(2000, 3000, a, b) for a, b in zip(x.to_pylist(), y.to_pylist())]
+
+
 def test_repeated_lines_are_marked_wherever_they_repeat(monkeypatch):
     """In a slice, in a later slice that is packed with it or after it, and in another task."""
     monkeypatch.setattr(line_dedup, "PACKED", 50 * line_dedup.BANDS)
