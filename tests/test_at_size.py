@@ -31,3 +31,16 @@ def test_hits_of_a_long_text(spark):
     began = time.time()
     h = d.select(F.transform(hits.phrase_hits(F.col("t"), R.load(), hits.protected(F.col("t"), R.load().protected)), lambda x: x["line"]).alias("h")).first()["h"]
     assert set(h) == set(range(1, 1501)) and time.time() - began < 60
+
+
+def test_gaps_and_fixing(spark):
+    texts = ["a1b22c", "1", "", "\u00041a\u0004", "no", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for x in d.select("t", T.gaps(F.col("t"), "[0-9]+").alias("g"), T.split(F.col("t"), "[0-9]+").alias("s")).collect():
+        assert x["g"] == x["s"], x
+    from inkwell.operators import analysis as A
+    many = spark.range(4000).select(F.concat(F.lit("We UTILIZE it, Delve and leverage — deep `leverage` "), F.repeat(F.lit("plain words stand here. "), 40), F.col("id").cast("string")).alias("text"))
+    began = time.time()
+    got = {tuple(r) for r in A.autofix(many).select(F.substring("fixed", 1, 50), "swaps", "emoji", "dashes").collect()}
+    assert len(got) == 1 and next(iter(got))[1:] == (3, 0, 1) and "EXAMINE" not in next(iter(got))[0] and "`leverage`" in next(iter(got))[0]
+    assert time.time() - began < 40
