@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+from string import ascii_letters
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..rules import EDGE, SPACE, WORD
 
-WORDS = r"[A-Za-z][A-Za-z\-'’]*"
+#: [A-Za-z][A-Za-z\-'’]*; characters one by one are looked up at once, ranges one after the other.
+WORDS = rf"[{ascii_letters}][{ascii_letters}\-'’]*+"
 FENCE = r"(?dm)^[\t ]*(([`~])\2{2,})[^\n]*?(?:\n(?s:.*?))?(?:\n[\t ]*\1[\t ]*$|\z)"
 INLINE = r"`+[^\n`]*+`+"
 HEADING, LIST, QUOTE = r"^[\t ]*#{1,6}[\t ]+", r"^[\t ]*(?:\d+[.)]|[-+*])[\t ]+", r"^[\t ]*>+[\t ]?"
 EMOJI = "[\\x{1F300}-\\x{1FAFF}\\x{2700}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}\\x{FE0F}]"
+SPANS = "array<struct<start:int,end:int,text:string>>"
 _NUL = "\u0003"  # not U+0000, which translate() takes as nothing
 
 
@@ -73,17 +78,26 @@ def masked_code(text: Column) -> Column:
 
 
 def without_markup(line: Column, gap: str = " ", tag: str = " ") -> Column:
-    """Anchor texts for links, gaps for addresses, footnotes and tags, no emphasis marks."""
-    t = F.regexp_replace(line, r"!?[\[]([^\]]*+)\][(][^)]*+[)]", "$1")
-    t = F.regexp_replace(t, rf"(?:www\.|(?:ftp|https?)://)[^{SPACE}]+", gap)
-    t = F.regexp_replace(t, r"\[\^[^\]]++\]", gap)
-    t = F.regexp_replace(t, r"<[^\n>]++>", tag)
-    return F.regexp_replace(t, r"\*{1,3}|_{1,3}|~~", "")
+    """Anchor texts for links, gaps for addresses, footnotes and tags, no emphasis marks; each is looked for where its marks are."""
+    def of(x):
+        t = F.when(x.contains("["), F.regexp_replace(x, r"!?[\[]([^\]]*+)\][(][^)]*+[)]", "$1")).otherwise(x)
+        t = F.regexp_replace(t, rf"(?:www\.|(?:ftp|https?)://)[^{SPACE}]+", gap)
+        t = F.regexp_replace(t, r"\[\^[^\]]++\]", gap)
+        t = F.regexp_replace(t, r"<[^\n>]++>", tag)
+        t = F.regexp_replace(t, r"\*{1,3}|_{1,3}|~~", "")
+        return F.when(functools.reduce(Column.__or__, [x.contains(m) for m in ("[", "www.", "://", "<", "*", "_", "~~")]), t).otherwise(x)
+    return let(line, of)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space at its ends; the expression would look at every space within."""
+    ends = F.substring(text, 1, 1).rlike(f"[{SPACE}]") | F.substring(text, -1, 1).rlike(f"[{SPACE}]")
+    return F.when(ends, F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")).otherwise(text)
 
 
 def is_rule(line: Column) -> Column:
     """Three or more of the same of - * _ and blanks; the blanks go first, as an expression with them would recurse."""
-    return F.regexp_replace(line, "[\t ]", "").rlike(r"^(?:-{3,}|_{3,}|\*{3,})$")
+    return line.rlike(r"^[\t ]*[-_*]") & F.regexp_replace(line, "[\t ]", "").rlike(r"^(?:-{3,}|_{3,}|\*{3,})$")
 
 
 def is_structure(line: Column) -> Column:
@@ -94,11 +108,13 @@ def metric_prose(code_stripped: Column) -> Column:
     """Paragraphs with their lines joined, list items as sentences of their own, nothing else: one a line."""
     def line(raw):
         breaks = F.trim(raw).rlike(rf"^[{SPACE}]*$") | is_structure(raw) | (raw.rlike(rf"^[{SPACE}:|\-]*$") & raw.rlike("[-:]")) | raw.rlike(r"^[\t ]*\[\^[^\]]++\]:")
-        bare = F.regexp_replace(without_markup(F.regexp_replace(F.regexp_replace(raw, QUOTE, ""), LIST, "")), rf"^[{SPACE}]+|[{SPACE}]+$", "")
-        item = F.concat(F.lit("\u0001"), bare, F.when(bare.rlike("[.!?]$"), F.lit("")).otherwise(F.lit(".")), F.lit("\u0001"))
-        return F.when(breaks, F.lit("\u0001")).when(bare == "", F.lit(None).cast("string")).when(raw.rlike(LIST), item).otherwise(F.concat(bare, F.lit("\u0002")))
+        def of(bare):
+            item = F.concat(F.lit("\u0001"), bare, F.when(bare.rlike("[.!?]$"), F.lit("")).otherwise(F.lit(".")), F.lit("\u0001"))
+            return F.when(bare == "", F.lit(None).cast("string")).when(raw.rlike(LIST), item).otherwise(F.concat(bare, F.lit("\u0002")))
+        bare = let(without_markup(F.regexp_replace(F.regexp_replace(raw, QUOTE, ""), LIST, "")), stripped)
+        return F.when(breaks, F.lit("\u0001")).otherwise(let(bare, of))
     marked = F.array_join(F.transform(split(code_stripped, "\n"), line), "")
-    paragraphs = F.transform(split(marked, "\u0001"), lambda p: F.translate(F.regexp_replace(p, "\u0002$", ""), "\u0002", " "))
+    paragraphs = F.transform(split(marked, "\u0001"), lambda p: F.replace(F.regexp_replace(p, "\u0002$", ""), F.lit("\u0002"), F.lit(" ")))
     return F.array_join(F.filter(paragraphs, lambda p: p != ""), "\n")
 
 
@@ -107,7 +123,7 @@ def adjacency_prose(text: Column) -> Column:
     fenced = F.when(text.rlike("(?m)^[\t ]*(?:```|~~~)"), splice(text, FENCE, lambda m: F.repeat(F.lit("\n"), F.length(F.regexp_replace(m, r"[^\n]", ""))))).otherwise(text)
     def line(raw):
         t = F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, HEADING, ""), QUOTE, ""), LIST, "")
-        return without_markup(F.regexp_replace(t, INLINE, "x"), "x", "")
+        return without_markup(let(t, lambda x: F.when(x.contains("`"), F.regexp_replace(x, INLINE, "x")).otherwise(x)), "x", "")
     return F.array_join(F.transform(split(fenced, "\n"), line), "\n")
 
 
@@ -131,7 +147,7 @@ def sentences(prose: Column) -> Column:
     t = let(t, lambda t: F.when(t.rlike(r"[A-Za-z]\.[A-Za-z]\."), splice(t, EDGE + r"(?:[A-Za-z]\.){2,}", lambda m: F.translate(m, ".", _NUL))).otherwise(t))
     t = F.regexp_replace(t, rf"(?iu)\.(?<=(?<![{WORD}])(?:" + "|".join(w.replace(".", r"\.") for w in _SHORT) + r")\.)", _NUL)
     parts = split(t, rf"""(?<=[!?.])[\])"'’”]?[{SPACE}]+(?=["'(“A-Z0-9])""")
-    return F.filter(F.transform(parts, lambda p: F.regexp_replace(F.translate(p, _NUL, "."), rf"^[{SPACE}]+|[{SPACE}]+$", "")), lambda p: p != "")
+    return F.filter(F.transform(parts, lambda p: let(F.replace(p, F.lit(_NUL), F.lit(".")), stripped)), lambda p: p != "")
 
 
 def paragraphs(code_stripped: Column, lists: bool = False, setext: bool = True) -> Column:
@@ -148,7 +164,7 @@ def paragraphs(code_stripped: Column, lists: bool = False, setext: bool = True)
 def spans(text: Column, regex: str | Column) -> Column:
     """array<struct<start, end, text>> of the matches, from 0; from the pieces between them, so without a UDF."""
     pair = F.struct((gaps if isinstance(regex, str) else split)(text, regex).alias("g"), extract(text, regex).alias("m"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
     def step(acc, x):
         start = acc["at"] + F.length(x["g"])
         return F.when(x["m"].isNull(), acc).otherwise(F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("text")))).alias("out")))
@@ -169,7 +185,8 @@ def counted(values: Column) -> Column:
     def runs(s):
         begin = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.get(s, i - 1) != F.get(s, i - 2)))
         return let(begin, lambda b: F.transform(b, lambda p, j: F.struct(F.get(s, p - 1).alias("value"), (F.coalesce(F.get(b, j + 1), F.size(s) + 1) - p).alias("n"))))
-    return F.when(F.size(values) > 0, let(F.sort_array(values), runs))
+    # sorted once: values may be a long expression, and size() would make it again
+    return let(F.sort_array(values), lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
 def longest_run(flags: Column) -> Column:
@@ -179,12 +196,25 @@ def longest_run(flags: Column) -> Column:
 
 
 def cov(numbers: Column) -> Column:
-    """Population deviation over mean; null for fewer than two."""
+    """Population deviation over mean; null for fewer than two. Deviations are added as in SQL's stddev_pop (Welford), so that the
+    last digit is the same."""
     def of(a):
-        return let(F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a), lambda m: F.when(m > 0, F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)) / F.size(a)) / m))
+        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("d"))
+        def step(s, x):
+            return let(s["mean"] + (x - s["mean"]) / (s["n"] + 1), lambda mean: F.struct((s["n"] + 1).alias("n"), mean.alias("mean"), (s["d"] + (x - mean) * (x - s["mean"])).alias("d")))
+        deviation = F.sqrt(F.aggregate(a, zero, step)["d"] / F.size(a))
+        return let(F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a), lambda m: F.when(m > 0, deviation / m))
     return F.when(F.size(numbers) >= 2, let(numbers, of))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """As SQL's round() of a double: the nearest whole number of 10^-digits in doubles, halves away from zero. Spark's round() takes
+    the decimal digits that a double is shown with, and so differs near halves."""
+    def of(y):
+        return F.floor(y) + F.when(y - F.floor(y) >= 0.5, 1).otherwise(0)
+    return let(x, lambda v: F.signum(v) * (let(F.abs(v) * 10.0**digits, of) / 10.0**digits))
+
+
 def views(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the views that checks read: t (source), c (no code), m (metric prose), a (adjacency prose), w (words), s (sentences)."""
     d = docs.withColumn("t", without_front_matter(clean(F.coalesce(F.col(text), F.lit("")))))
