@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,7 +42,9 @@ def em_dash(v, th):
             second = each_if(F.size(pairs) >= 2, pairs, lambda x: hit("em_dash", F.trim(F.translate(x["text"], "\n", " ")), "make the aside a sentence", v["m"], x["start"], basis="metric"), 6)
             return F.struct(rate.alias("em_dash_per_1k"), F.size(F.filter(found, lambda x: x["text"].contains("—") | x["text"].contains("--"))).alias("em_dash_count"), F.size(F.filter(found, lambda x: x["text"].contains("–"))).alias("en_dash_count"), F.size(pairs).alias("paired_dash_asides"), F.when(many, first).otherwise(second).alias("hits"))
         return T.let(T.spans(v["m"], rf"[—–]{S_}?[^—–\n]{{1,50}}?{S_}?[—–]"), tight)
-    return T.let(T.spans(v["m"], DASHES), of)
+    some = v["m"].contains("—") | v["m"].contains("–") | v["m"].contains("--")
+    # each begins with a dash or with one blank and a dash: that is looked at before the five ways
+    return T.let(F.when(some, T.spans(v["m"], rf"(?={S_}?(?:[—–]|--))(?:{DASHES})")).otherwise(F.array().cast(T.SPANS)), of)
 
 
 def bold_bullets(v, th):
@@ -52,10 +56,10 @@ def bold_bullets(v, th):
 
 
 def rule_of_three(v, th):
-    word = rf"{R.EDGE}([A-Za-z]+){S_}*,{S_}+([A-Za-z]+){S_}*,?{S_}+(?:or|and){S_}+([A-Za-z]+){R.EDGE}"
-    member = rf"[A-Za-z][\-{W}]*(?:{S_}+[\-{W}]+){{0,2}}"
-    noun = rf"{R.EDGE}({member}),{S_}+({member}),{S_}+and{S_}+({member}){R.EDGE}"
-    part = lambda x, rx, k: F.regexp_extract(x["text"], rx.replace(R.EDGE, ""), k)
+    word = rf"{R.BEGIN}([A-Za-z]++){S_}*+,{S_}+([A-Za-z]++){S_}*,?{S_}+(?:or|and){S_}+([A-Za-z]+){R.END}"
+    member = rf"[A-Za-z][\-{W}]*+(?:{S_}++[\-{W}]++){{0,2}}+"  # nothing of it can be given back before a comma
+    noun = rf"{R.BEGIN}({member}),{S_}+({member}),{S_}+and{S_}+([A-Za-z][\-{W}]*(?:{S_}+[\-{W}]+){{0,2}}){R.EDGE}"
+    part = lambda x, rx, k: F.regexp_extract(x["text"], rx.replace(R.EDGE, "").replace(R.BEGIN, "").replace(R.END, ""), k)
     capital = lambda x, rx: part(x, rx, 2).rlike(r"^\p{Lu}") | part(x, rx, 3).rlike(r"^\p{Lu}")
     singles = F.filter(T.spans(v["m"], word), lambda x: (F.length(part(x, word, 1)) > 3) & (F.length(part(x, word, 2)) > 3) & (F.length(part(x, word, 3)) > 3) & ~capital(x, word))
     triads = F.filter(T.spans(v["m"], noun), lambda x: ~capital(x, noun) & (part(x, noun, 1).rlike(S_) | part(x, noun, 2).rlike(S_) | part(x, noun, 3).rlike(S_)))
@@ -142,17 +146,17 @@ def lexical_diversity(v, th):
 def repeated_grams(words: Column, n: int, least: int) -> Column:
     """array<struct<value, n>> of word n-grams, not all stopwords, that occur least times or more."""
     empty = F.array().cast("array<struct<value:string,n:int>>")
-    def of(w):
-        tail = lambda i: F.slice(w, F.lit(i + 1), F.size(w) - (n - 1))
+    def of(w, stop):
+        tail = lambda a, i: F.slice(a, F.lit(i + 1), F.size(w) - (n - 1))
         # a gram is null where all its words are stopwords; words hold no spaces
-        grams = tail(0)
-        plain = F.transform(grams, lambda x: x.isin(*STOP))
+        grams, plain = tail(w, 0), tail(stop, 0)
         for i in range(1, n):
-            grams = F.zip_with(grams, tail(i), lambda x, y: F.concat(x, F.lit(" "), y))
-            plain = F.zip_with(plain, tail(i), lambda x, y: x & y.isin(*STOP))
+            grams = F.zip_with(grams, tail(w, i), lambda x, y: F.concat(x, F.lit(" "), y))
+            plain = F.zip_with(plain, tail(stop, i), lambda x, y: x & y)
         grams = F.filter(F.zip_with(grams, plain, lambda g, p: F.when(~p, g)), lambda g: g.isNotNull())
         return F.filter(T.counted(grams), lambda x: x["n"] >= least)
-    return F.coalesce(F.when(F.size(words) >= n, T.let(words, of)), empty)
+    stops = lambda w: T.let(F.transform(w, lambda x: x.isin(*STOP)), lambda stop: of(w, stop))
+    return F.coalesce(F.when(F.size(words) >= n, T.let(words, stops)), empty)
 
 
 def ngram_repetition(v, th):
@@ -183,8 +187,8 @@ def _density(name, category, n, v, limit):
     return F.struct(rate.alias(name), one_if(fires, hit(category, F.format_string("%.0f in 1000 words", rate), "fewer of them")).alias("hits"))
 
 
-PASSIVE = rf"(?iu){R.EDGE}(?:are|be|been|being|gets|got|is|was|were){S_}+(?:[{W}]+ly{S_}+)?(?:[{W}]+ed|" + "|".join(sorted("built chosen done drawn found given grown held kept known lost made met paid put read seen sent set shown taken told won written".split())) + f"){R.EDGE}"
-NOMINAL = rf"(?iu){R.EDGE}[{W}]{{4,}}(?:ance|ence|isation|ity|ization|ment|tion)s?{R.EDGE}"
+PASSIVE = rf"(?iu){R.BEGIN}(?:are|be|been|being|gets|got|is|was|were){S_}+(?:[{W}]+ly{S_}+)?(?:[{W}]+ed|" + "|".join(sorted("built chosen done drawn found given grown held kept known lost made met paid put read seen sent set shown taken told won written".split())) + f"){R.END}"
+NOMINAL = rf"(?iu){R.BEGIN}[{W}]{{4,}}(?:ance|ence|isation|ity|ization|ment|tion)s?{R.END}"
 
 
 def passive_voice(v, th):
@@ -318,7 +322,8 @@ def dash_style(v, th):
     return T.let(F.struct(T.spans(v["a"], rf"{S_}--{S_}|(?<=[{W}])--(?=[{W}])").alias("d"), T.spans(v["a"], r"(?<=[a-z]) - (?=[a-z])").alias("h")), of)
 
 
-DOUBLED = rf"(?iu){R.EDGE}([A-Za-z]{{2,}}){R.EDGE}[\t ]+\1{R.EDGE}"
+#: [A-Za-z] in any case, one by one: they are looked up at once.
+DOUBLED = rf"{R.BEGIN}([{string.ascii_letters}\u017f\u0131\u0130\u212a]{{2,}}+){R.END}[\t ]+(?iu:\1){R.END}"
 
 
 def doubled_words(v, th):

@@ -7,13 +7,16 @@ import csv
 import json
 import os
 import re
+import string
 from dataclasses import dataclass, field, replace
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 #: What a word character, its edge and white space are in every expression: Unicode's, whatever the JVM's default.
 #: Letters, digits and _ (\p{L}\p{N}_); a category is looked up for what isn't ASCII only.
-WORD = r"[0-9A-Z_a-z][\x80-\x{10ffff}&&[\p{L}\p{N}]]"
+WORD = rf"[{string.digits}{string.ascii_letters}_][\x80-\x{{10ffff}}&&[\p{{L}}\p{{N}}]]"
 EDGE = rf"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
+#: One-sided edges, for where the side within is a word character anyway.
+BEGIN, END = f"(?<![{WORD}])", f"(?![{WORD}])"
 SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
